@@ -154,6 +154,8 @@ def to_wkt(wkb: bytes) -> str:
 
     if kind == "GeometryCollection":
         return "GEOMETRYCOLLECTION(" + ",".join(to_wkt(encode(*m)) for m in coordinates) + ")"
+    if kind == "MultiPoint":
+        coordinates = [p.reshape(1, 2) for p in coordinates]
     body = text(coordinates)
     return f"{kind.upper()}({body})" if kind == "Point" else kind.upper() + body
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COLUMN_ALIASES, DOUBLE_COLUMNS, GEOMETRY_COLUMNS, PARCEL_COLUMNS, column_type
+from .skew import lookup_join
 
 
 def quoted(name: str) -> Column:
@@ -51,11 +52,21 @@ def cast_parcels(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in numeric}) if numeric else df
 
 
-def normalize_geometry(df: DataFrame) -> DataFrame:
-    """Rows that carry a geometry, held in ``geom_wkb``."""
+def normalize_geometry(df: DataFrame, file_col: str | None = None) -> DataFrame:
+    """The shape column under the name ``geom_wkb``, without files that hold no shape at all.
+
+    With ``file_col`` a file counts as a whole, so its rows without a shape stay when others have
+    one; without it every row has to have a shape.
+    """
     if "geom_wkb" not in df.columns:
-        raise ValueError("no geometry column")
-    return df.where(F.col("geom_wkb").isNotNull())
+        shapes = [f.name for f in df.schema.fields if f.name.lower() in ("geom", "geometry", "shape") and isinstance(f.dataType, T.BinaryType)]
+        if not shapes:
+            raise ValueError("no geometry column")
+        df = df.withColumnRenamed(shapes[0], "geom_wkb")
+    filled = df.where(F.col("geom_wkb").isNotNull())
+    if file_col is None:
+        return filled
+    return lookup_join(df, filled.select(file_col).distinct(), [file_col], "left_semi", df.columns)
 
 
 def stringify_dates(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,18 +31,24 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, accuracy: int = S
         (F.lit(q) * (F.col("total") - F.lit(1))).alias("position"),
     )
     bracketed = values.join(F.broadcast(bracket))  # one row
-    # Values below the bracket all collapse onto the key NULL: one partial row per task.
-    inside = F.when((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")), F.col("v"))
+    # Zones 0 and 2, below and above the bracket, collapse to one partial row per task each.
+    zone = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
     counts = (
-        bracketed.where(F.col("v") <= F.col("high"))
-        .groupBy(inside.alias("v"), "position")
-        .agg(F.count(F.lit(1)).alias("n"))
+        bracketed.groupBy(zone.alias("zone"), F.when(zone == 1, F.col("v")).alias("v"), "position")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
     )
-    order = Window.partitionBy("position").orderBy(F.col("v").asc_nulls_first())
+    order = Window.partitionBy("position").orderBy("zone", "v")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    located = counts.withColumn("last", upto - F.lit(1))
-    below = F.min(F.when(F.col("last") >= F.floor("position"), F.col("v")))
-    above = F.min(F.when(F.col("last") >= F.ceil("position"), F.col("v")))
+    # Of a collapsed zone only the value next to the bracket can be asked for.
+    located = counts.select(
+        "position", (upto - F.col("n")).alias("first"), (upto - F.lit(1)).alias("last"),
+        F.when(F.col("zone") == 0, F.col("most")).otherwise(F.col("least")).alias("value"),
+    )
+
+    def value_at(index: Column) -> Column:
+        return F.max(F.when((F.col("first") <= index) & (index <= F.col("last")), F.col("value")))
+
+    below, above = value_at(F.floor("position")), value_at(F.ceil("position"))
     share = F.max("position") - F.floor(F.max("position"))
     return located.agg((below + (above - below) * share).alias("quantile"))
 

@@ -13,7 +13,7 @@ from .functions.scalar import band_is_visible, building_coverage, rank_band, ran
 from .operators import catalog, filters, lookups as lk, scoring, spatial, standardize as std, stats
 from .oracle import with_blocks
 from .plans.site_selection import Settings, rank, screening_funnel, site_selection, with_drive_times
-from .session import Scratch
+from .session import Scratch, ship_package
 from .sources.sinks import export_columns, report_row
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,11 @@ def query(sql: str | None = None, *blocks: str):
     """Register a query under its function name, with its SQL over the named blocks."""
 
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = with_blocks(sql, *blocks) if blocks else sql.strip()
         return fn

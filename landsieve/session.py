@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,24 @@ def build_session(app: str = "landsieve", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="landsieve-package-"), "landsieve")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str | None:
