@@ -32,21 +32,19 @@ def sanitize_name(name: Column | str) -> Column:
     )
 
 
-def is_flagged(value: Column | str) -> Column:
-    """Spreadsheet flag: TRUE in any case and padding, or the number one."""
-    text = F.upper(F.trim((F.col(value) if isinstance(value, str) else value).cast("string")))
-    return F.coalesce((text == "TRUE") | (F.expr("try_cast(%s AS DOUBLE)" % _ref(value)) == 1.0), F.lit(False))
+def _ref(name: str) -> str:
+    return "`%s`" % name.replace("`", "``")
 
 
-def _ref(value: Column | str) -> str:
-    if not isinstance(value, str):
-        raise TypeError("is_flagged takes a column name")
-    return "`%s`" % value.replace("`", "``")
+def is_flagged(name: str) -> Column:
+    """Spreadsheet flag: TRUE in any case and padding, or the number one."""
+    text = F.upper(F.trim(F.col(_ref(name)).cast("string")))
+    return F.coalesce((text == "TRUE") | (try_double(name) == 1.0), F.lit(False))
 
 
 def try_double(name: str) -> Column:
     """Text to double; NULL where the text is not a number."""
-    return F.expr("try_cast(%s AS DOUBLE)" % _ref(name))
+    return F.expr(f"try_cast({_ref(name)} AS DOUBLE)")
 
 
 def building_coverage(building: str, lot: str) -> Column:
