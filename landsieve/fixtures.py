@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread_small
+
 WEIGHTS = {
     "zoning": 0.2, "description": 0.15, "fema_nri": 0.1, "flood": 0.1,
     "size": 0.2, "drive": 0.1, "transmission": 0.15,
@@ -36,7 +38,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parcel per order."""
     t = lambda name: table(spark, sf_dir, name)
     joined = (
-        t("orders")
+        spread_small(t("orders"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))

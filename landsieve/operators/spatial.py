@@ -1,13 +1,14 @@
 """Spatial joins as equi-joins on grid cells.
 
 Geometries live on a hierarchy of square grids, each four times coarser than the one below. A
-geometry belongs to the first level whose cells are at least as large as its bounding box, so it
-meets few cells whatever its size, a street corner or a whole state. A pair is joined on the
-coarser of its two levels: the left row asks one cell per level in use on the right (that of its
-lower left corner), the right rows are entered into every cell from which such a left row could
-reach them. Each pair therefore meets exactly once and no duplicates have to be removed.
-
-The right side is a layer. Its size is measured; within bounds its cells are broadcast and the
+left box belongs to the first level whose cells are at least its size, a right box to the first
+level on which it spans at most ``SPAN`` cells, so either meets few cells whatever its size, a
+street corner or a whole state. A pair is joined on the coarser of its two levels: the left row
+asks one cell per level in use on the right (that of its lower left corner), the right rows are
+entered into every cell from which such a left row could reach them. Each pair therefore meets
+exactly once and no duplicates have to be removed.
+
+The right side is a layer. Its cells are counted first; within bounds they are broadcast and the
 left rows never move, beyond that the cells are joined by a salted shuffle.
 """
 
@@ -26,6 +27,9 @@ from .skew import BROADCAST_BYTES, salted_join
 
 DEFAULT_CELL = 256.0
 LEVELS = 9  # level LEVELS is a single cell covering the whole plane
+SPAN = 4.0  # cells a right box may span; more cells means more layer rows but fewer vain candidates
+LIST_BYTES = 256 * 1024 * 1024  # bound of a layer broadcast as lists per cell
+WORTH_A_PASS = 16 * 1024 * 1024  # cell rows beyond this are worth looking at the left side first
 CELL_ROW_BYTES = 128  # generous size of one broadcast cell row without payload
 KEYS = ["_for", "_level", "_cx", "_cy"]
 
@@ -33,21 +37,21 @@ KEYS = ["_for", "_level", "_cx", "_cy"]
 @dataclass(frozen=True)
 class LayerSize:
     rows: int
+    cells: int
     levels: tuple[int, ...]
     geometry_bytes: int
-    all_rect: bool
 
 
 def has_box() -> Column:
     return reduce(Column.__and__, [F.col(c).isNotNull() for c in BOX_COLUMNS])
 
 
-def _level(cell: float) -> Column:
+def _level(cell: float, span: float) -> Column:
     side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
     level = F.lit(LEVELS)
     for k in reversed(range(LEVELS)):
-        # The margin keeps rounding in ``side`` from hiding a box slightly larger than the cell.
-        level = F.when(side <= F.lit(cell * 4.0**k * 0.999), F.lit(k)).otherwise(level)
+        # The margin keeps rounding in ``side`` from hiding a box slightly larger than allowed.
+        level = F.when(side <= F.lit(span * cell * 4.0**k * 0.999), F.lit(k)).otherwise(level)
     return level
 
 
@@ -55,19 +59,36 @@ def _cell(value: Column, level: Column, cell: float) -> Column:
     return F.floor(value / (F.lit(cell) * F.pow(F.lit(4.0), level))).cast("long")
 
 
-def layer_cells(layer: DataFrame, cell: float = DEFAULT_CELL) -> DataFrame:
+def _first_cell(low: str, level: Column, cell: float) -> Column:
+    """A left box reaching in may have its corner one cell before the box itself."""
+    return _cell(F.col(low), level, cell) - F.lit(1)
+
+
+def levels_in_use(df: DataFrame, cell: float = DEFAULT_CELL) -> tuple[int, ...]:
+    """Grid levels of the left boxes, by one pass over their four coordinates."""
+    return tuple(df.where(has_box()).agg(F.sort_array(F.collect_set(_level(cell, 1.0))).alias("levels")).first()["levels"])
+
+
+def _asked_levels(own: Column, asked: tuple[int, ...]) -> Column:
+    """Levels a layer row is entered on: its own and the coarser ones left rows may ask for."""
+    return F.array_union(F.array(own), F.filter(F.array(*map(F.lit, asked)), lambda k: k > own))
+
+
+ALL_LEVELS = tuple(range(LEVELS + 1))
+
+
+def layer_cells(layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS) -> DataFrame:
     """Layer rows repeated for each cell in which a left row may look for them."""
-    top = F.col("_level") == LEVELS
+    level = F.col("_level")
 
     def span(low: str, high: str) -> Column:
-        first = _cell(F.col(low), F.col("_level"), cell) - F.lit(1)
-        last = _cell(F.col(high), F.col("_level"), cell)
-        return F.explode(F.when(top, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last)))
+        cells = F.sequence(_first_cell(low, level, cell), _cell(F.col(high), level, cell))
+        return F.explode(F.when(level == LEVELS, F.array(F.lit(0).cast("long"))).otherwise(cells))
 
     return (
         layer.where(has_box())
-        .withColumn("_for", _level(cell))
-        .withColumn("_level", F.explode(F.sequence(F.col("_for"), F.lit(LEVELS))))
+        .withColumn("_for", _level(cell, SPAN))
+        .withColumn("_level", F.explode(_asked_levels(F.col("_for"), asked)))
         .withColumn("_cx", span("minx", "maxx"))
         .withColumn("_cy", span("miny", "maxy"))
     )
@@ -83,32 +104,55 @@ def probes(df: DataFrame, levels: tuple[int, ...] | int, cell: float = DEFAULT_C
 
     return (
         df.withColumn("_for", wanted)
-        .withColumn("_level", F.greatest(_level(cell), F.col("_for")))
+        .withColumn("_level", F.greatest(_level(cell, 1.0), F.col("_for")))
         .withColumn("_cx", corner("minx"))
         .withColumn("_cy", corner("miny"))
     )
 
 
-def measure_layer(layer: DataFrame, cell: float = DEFAULT_CELL) -> LayerSize:
-    """Rows, grid levels and geometry volume of a layer, in one aggregate."""
-    size = F.length("geom_wkb") if "geom_wkb" in layer.columns else F.lit(0)
-    rect = F.coalesce(F.col("is_rect"), F.lit(False)) if "is_rect" in layer.columns else F.lit("geom_wkb" not in layer.columns)
-    row = (
-        layer.where(has_box())
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sort_array(F.collect_set(_level(cell))).alias("levels"),
-            F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
-            F.coalesce(F.bool_and(rect), F.lit(True)).alias("rect"),
+def measure_layers(layers: list[DataFrame], cell: float, asked: tuple[int, ...] = ALL_LEVELS) -> list[LayerSize]:
+    """Rows, cell rows, grid levels and geometry volume of each layer, in one job."""
+    level = _level(cell, SPAN)
+
+    def cells_at(k: Column) -> Column:
+        across = _cell(F.col("maxx"), k, cell) - _first_cell("minx", k, cell) + 1
+        up = _cell(F.col("maxy"), k, cell) - _first_cell("miny", k, cell) + 1
+        return F.when(k == LEVELS, F.lit(1.0)).otherwise(across.cast("double") * up)
+
+    cells = F.aggregate(_asked_levels(level, asked), F.lit(0.0), lambda total, k: total + cells_at(k))
+    rows = []
+    for i, layer in enumerate(layers):
+        size = F.length("geom_wkb") if "geom_wkb" in layer.columns else F.lit(0)
+        rows.append(
+            layer.where(has_box()).agg(
+                F.lit(i).alias("i"),
+                F.count(F.lit(1)).alias("n"),
+                F.coalesce(F.sum(cells), F.lit(0.0)).alias("cells"),
+                F.sort_array(F.collect_set(level)).alias("levels"),
+                F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"),
+            )
         )
-        .first()
-    )
-    return LayerSize(row["n"], tuple(row["levels"]), row["bytes"], row["rect"])
+    found = sorted(reduce(DataFrame.unionByName, rows).collect())  # one row per layer
+    return [LayerSize(r["n"], int(r["cells"]), tuple(r["levels"]), r["bytes"]) for r in found]
+
+
+def measure_layer(layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS) -> LayerSize:
+    return measure_layers([layer], cell, asked)[0]
 
 
-def _cells_per_row() -> int:
-    # At its own level a box spans at most 3 x 3 asked cells, on coarser ones rarely more than 2 x 2.
-    return 9 + 4 * (LEVELS - 1)
+def fit_levels(
+    left: DataFrame, layer: DataFrame, cell: float, size: LayerSize | None = None
+) -> tuple[LayerSize, tuple[int, ...]]:
+    """Size of a layer and the levels it is entered on.
+
+    A small layer is simply entered on all levels. For a larger one a pass over the left boxes
+    pays off: it tells which levels are asked for, usually one or two.
+    """
+    size = size or measure_layer(layer, cell)
+    if size.cells * CELL_ROW_BYTES <= WORTH_A_PASS:
+        return size, ALL_LEVELS
+    asked = levels_in_use(left, cell)
+    return measure_layer(layer, cell, asked), asked
 
 
 def boxes_overlap(prefix: str = "_r_", within: float = 0.0) -> Column:
@@ -150,6 +194,16 @@ def _check_shapes(left: DataFrame, right: DataFrame) -> bool:
     return all(sides)
 
 
+def grow(layer: DataFrame, within: float) -> DataFrame:
+    """Boxes widened by ``within``, the original ones kept as ``_o_...``; shapes are left out."""
+    # Slightly more than asked for, so that rounding cannot lose a pair; an exact test follows.
+    reach = {c: F.lit(within * 1.000001) + F.abs(F.col(c)) * F.lit(1e-12) for c in BOX_COLUMNS}
+    original = layer.drop("geom_wkb").withColumns({f"_o_{c}": F.col(c) for c in BOX_COLUMNS})
+    return original.withColumns(
+        {c: F.col(c) - d if c.startswith("min") else F.col(c) + d for c, d in reach.items()}
+    )
+
+
 def candidate_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -167,25 +221,20 @@ def candidate_pairs(
     """
     carried = list(dict.fromkeys([right_id, *payload, *BOX_COLUMNS, *(["is_rect"] if "is_rect" in right.columns else [])]))
     if within:
-        # Slightly more than asked for, so that rounding cannot lose a pair; the residual decides.
-        reach = {c: F.lit(within * 1.000001) + F.abs(F.col(c)) * F.lit(1e-12) for c in BOX_COLUMNS}
-        original = right.withColumns({f"_o_{c}": F.col(c) for c in BOX_COLUMNS})
-        grown = original.withColumns(
-            {c: F.col(c) - d if c.startswith("min") else F.col(c) + d for c, d in reach.items()}
-        )
-        size = measure_layer(grown.drop("geom_wkb"), cell)
-        cells = layer_cells(grown, cell)
+        grown = grow(right, within)
+        size, asked_levels = fit_levels(left, grown, cell)
+        cells = layer_cells(grown, cell, asked_levels)
         sources = [F.col(f"_o_{c}" if c in BOX_COLUMNS else c).alias(f"_r_{c}") for c in carried]
     else:
-        size = size or measure_layer(right, cell)
-        cells = layer_cells(right, cell)
+        size, asked_levels = fit_levels(left, right, cell, size)
+        cells = layer_cells(right, cell, asked_levels)
         sources = [F.col(c).alias(f"_r_{c}") for c in carried]
     cells = cells.select(*KEYS, *sources)
     asked = probes(left.where(has_box()), size.levels, cell) if size.levels else probes(left.limit(0), 0, cell)
     residual = boxes_overlap(within=within)
 
     row_bytes = CELL_ROW_BYTES + 32 * len(payload)
-    if size.rows * _cells_per_row() * row_bytes <= max_bytes:
+    if size.cells * row_bytes <= max_bytes:
         keyed = cells.withColumnsRenamed({k: f"_k{k}" for k in KEYS})
         match = reduce(Column.__and__, [F.col(k) == F.col(f"_k{k}") for k in KEYS])
         pairs = asked.join(F.broadcast(keyed), match & residual).drop(*[f"_k{k}" for k in KEYS])
@@ -236,15 +285,15 @@ def spatial_anti(
 ) -> DataFrame:
     """Left rows that intersect no row of the layer; rows without geometry are kept."""
     exact = _check_shapes(left, right)
-    size = measure_layer(right, cell)
+    size, asked = fit_levels(left, right, cell)
     if not size.levels:
         return left
     kept = left
-    broadcastable = size.rows * _cells_per_row() * CELL_ROW_BYTES <= max_bytes
+    broadcastable = size.cells * CELL_ROW_BYTES <= max_bytes
     if broadcastable:
         # One map-side anti join per layer level settles every pair that boxes decide.
         flags = ["is_rect"] if "is_rect" in right.columns else []
-        cells = layer_cells(right, cell).select(
+        cells = layer_cells(right, cell, asked).select(
             *[F.col(k).alias(f"_k{k}") for k in KEYS], *[F.col(c).alias(f"_r_{c}") for c in [*BOX_COLUMNS, *flags]]
         )
         for level in size.levels:
@@ -290,14 +339,77 @@ def attach_drive_time(
     return joined.withColumn("drive_time", F.coalesce(F.col("drive_time"), F.lit(float(default))))
 
 
-def box_gap(prefix: str = "_r_") -> Column:
-    """Distance between two boxes; an axis-aligned segment is a flat box."""
-    zero = F.lit(0.0)
+def _axis(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    return F.greatest(F.lit(0.0), other_low - high, low - other_high)
+
+
+def box_gap(entry: Column | None = None) -> Column:
+    """Distance between the left box and the layer box; an axis-aligned segment is a flat box."""
+    r = (lambda n: F.col(f"_r_{n}")) if entry is None else (lambda n: entry[n])
+    x = _axis(F.col("minx"), F.col("maxx"), r("minx"), r("maxx"))
+    y = _axis(F.col("miny"), F.col("maxy"), r("miny"), r("maxy"))
+    return F.sqrt(F.pow(x, F.lit(2.0)) + F.pow(y, F.lit(2.0)))
+
+
+def box_reach(entry: Column) -> Column:
+    """Largest distance between points of the two boxes; no pair of shapes inside is further apart."""
+    x = F.greatest(entry["maxx"] - F.col("minx"), F.col("maxx") - entry["minx"])
+    y = F.greatest(entry["maxy"] - F.col("miny"), F.col("maxy") - entry["miny"])
+    return F.sqrt(F.pow(x, F.lit(2.0)) + F.pow(y, F.lit(2.0)))
+
 
-    def axis(low: str, high: str) -> Column:
-        return F.greatest(zero, F.col(prefix + low) - F.col(high), F.col(low) - F.col(prefix + high))
+def _rings(max_dist: float) -> list[float]:
+    """A near ring settles most rows at little cost; only the others look further."""
+    return [max_dist / 8.0, max_dist]
 
-    return F.sqrt(F.pow(axis("minx", "maxx"), F.lit(2.0)) + F.pow(axis("miny", "maxy"), F.lit(2.0)))
+
+def _search_in_place(
+    df: DataFrame, layer: DataFrame, rings: list[float], layer_id: str, payload: list[str], exact: bool, cell: float,
+    max_bytes: int,
+) -> DataFrame | None:
+    """Add ``_found``: layer entries that may be nearest, without moving or repeating a row of ``df``.
+
+    The layer is broadcast as one list of entries per cell, and each ring and level is one
+    map-side join that rows already settled by a nearer ring pass by. Of boxes the nearest entry
+    itself is kept, of shapes every entry that could still be nearest. None if too large.
+    """
+    flags = [c for c in ("is_rect",) if c in layer.columns]
+    grown = [grow(layer, ring) for ring in rings]
+    asked = levels_in_use(df, cell)
+    sizes = measure_layers(grown, cell, asked)
+    if sum(z.cells for z in sizes) * (CELL_ROW_BYTES + 32 * len(payload)) > max_bytes:
+        return None
+    originals = [F.col(f"_o_{c}").alias(c) for c in BOX_COLUMNS]
+    entry = F.struct(F.col(layer_id).alias("id"), *originals, *map(F.col, dict.fromkeys([*payload, *flags])))
+    ranked_type = F.array(F.struct(F.lit(0.0).alias("gap"), entry.alias("entry")))
+    held = F.array().cast(grown[0].select(ranked_type.alias("e")).schema["e"].dataType)
+    df = df.withColumn("_found", held)
+    for ring, widened, size in zip(rings, grown, sizes):
+        lists = layer_cells(widened, cell, asked).groupBy(*KEYS).agg(F.collect_list(entry).alias("_entries"))
+        lists = lists.withColumnsRenamed({k: f"_k{k}" for k in KEYS})
+        df = df.withColumn("_open", F.size("_found") == 0).withColumn("_ring", held)
+        for level in size.levels:
+            match = reduce(Column.__and__, [F.col(k) == F.col(f"_k{k}") for k in KEYS])
+            step = F.broadcast(lists.where(F.col("_k_for") == level))
+            df = probes(df, level, cell).join(step, match & F.col("_open"), "left")
+            ranked = F.transform("_entries", lambda e: F.struct(box_gap(e).alias("gap"), e.alias("entry")))
+            near = F.filter(ranked, lambda e: e["gap"] <= F.lit(float(ring)))
+            if not exact:  # keep the nearest box only
+                near = F.filter(F.array(F.array_min(near)), lambda e: e.isNotNull())
+            merged = F.when(F.col("_entries").isNotNull(), F.concat("_ring", near)).otherwise(F.col("_ring"))
+            df = df.withColumn("_ring", merged).drop("_entries", *KEYS, *[f"_k{k}" for k in KEYS])
+        if exact:
+            # A shape is no nearer than its box and no further than the far side of its box; a
+            # ring settles a row when some shape is sure to lie within it.
+            df = df.withColumn("_bound", F.array_min(F.transform("_ring", lambda e: box_reach(e["entry"]))))
+            settled = F.lit(ring == rings[-1]) | (F.col("_bound") <= F.lit(float(ring)))
+            kept = F.filter("_ring", lambda e: e["gap"] <= F.col("_bound"))
+            df = df.withColumn("_ring", F.when(settled, kept).otherwise(held)).drop("_bound")
+        else:
+            best = F.filter(F.array(F.array_min("_ring")), lambda e: e.isNotNull())
+            df = df.withColumn("_ring", best)
+        df = df.withColumn("_found", F.when(F.col("_open"), F.col("_ring")).otherwise(F.col("_found"))).drop("_open", "_ring")
+    return df
 
 
 def nearest(
@@ -309,7 +421,7 @@ def nearest(
     id_col: str = "ogc_fid",
     layer_id: str = "id",
     cell: float = DEFAULT_CELL,
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = LIST_BYTES,
 ) -> DataFrame:
     """Nearest layer row within ``max_dist``: ``(id, layer id, distance, payload...)``, ties to the least id.
 
@@ -318,22 +430,35 @@ def nearest(
     payload = payload or {}
     exact = _check_shapes(parcels, layer)
     shape = [c for c in ("is_rect", "geom_wkb") if c in parcels.columns]
-    narrow = parcels.select(id_col, *BOX_COLUMNS, *shape)
-    pairs = candidate_pairs(narrow, layer, id_col, layer_id, list(payload), max_dist, cell, max_bytes=max_bytes)
+    narrow = parcels.where(has_box()).select(id_col, *BOX_COLUMNS, *shape)
+    limit = F.lit(float(max_dist))
+    searched = _search_in_place(narrow, layer, _rings(max_dist), layer_id, list(payload), exact, cell, max_bytes)
+    if searched is not None and not exact:
+        hit = F.col("_found")[0]["entry"]
+        chosen = [hit["id"].alias(layer_id), F.col("_found")[0]["gap"].alias(distance), *[hit[c].alias(o) for c, o in payload.items()]]
+        return searched.where(F.size("_found") > 0).select(id_col, *chosen)
+
+    if searched is not None:
+        carried = dict.fromkeys([*payload, *BOX_COLUMNS, *(["is_rect"] if "is_rect" in layer.columns else [])])
+        pairs = searched.withColumn("_e", F.explode("_found")).select(
+            *narrow.columns, F.col("_e.entry.id").alias(f"_r_{layer_id}"), *[F.col(f"_e.entry.{c}").alias(f"_r_{c}") for c in carried]
+        )
+    else:
+        pairs = candidate_pairs(narrow, layer, id_col, layer_id, list(payload), max_dist, cell, max_bytes=max_bytes)
+        pairs = pairs.where(box_gap() <= limit)
     gap = box_gap()
     if exact:
-        pairs = pairs.where(gap <= F.lit(float(max_dist)))
         pairs = with_shapes(pairs, layer, id_col, layer_id, measure_layer(layer, cell), max_bytes)
         settled = _both_rect(parcels, layer)
         measured = st_distance(F.when(~settled, F.col("geom_wkb")), F.when(~settled, F.col("_r_geom_wkb")))
         pairs = pairs.withColumn("_exact", measured)
         gap = F.when(settled, gap).otherwise(F.col("_exact"))
-    entry = F.struct(
+    near = F.struct(
         gap.alias(distance), F.col(f"_r_{layer_id}").alias(layer_id), *[F.col(f"_r_{c}").alias(o) for c, o in payload.items()]
     )
     best = (
-        pairs.withColumn("_near", entry)
-        .where(F.col(f"_near.{distance}") <= F.lit(float(max_dist)))
+        pairs.withColumn("_near", near)
+        .where(F.col(f"_near.{distance}") <= limit)
         .groupBy(id_col)
         .agg(F.min("_near").alias("_near"))
     )

@@ -47,6 +47,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def spread_small(df: DataFrame, split_bytes: int = 16 * 1024 * 1024) -> DataFrame:
+    """Spread a scan that is too small to occupy the cluster over all its cores.
+
+    A small file is one split and so one task, however much work follows. Larger scans already
+    have enough splits and are left alone, so nothing large is ever shuffled here.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(parallelism) if planned < parallelism * split_bytes else df
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
