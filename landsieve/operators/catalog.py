@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .skew import lookup_join
+
 RUN_KEYS = ["state", "county", "provider"]
 RUN_FORMAT = "yyyyMMdd_HHmmss"
 
@@ -46,29 +48,20 @@ def runs(df: DataFrame) -> DataFrame:
 
 
 def runs_info(df: DataFrame) -> DataFrame:
-    """Runs per key: how many there are, the newest one, and all of them newest first.
-
-    The list holds one entry per run, not per parcel.
-    """
-    entry = F.struct("run_ts", "created")
-    return (
-        runs(df)
-        .groupBy(*RUN_KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("total_runs"),
-            F.max("created").alias("newest"),
-            F.sort_array(F.collect_list(entry), asc=False).alias("runs"),
-        )
-    )
+    """One row per run with its parsed time, the number of runs of its key and their newest time."""
+    listed = runs(df)
+    per_key = listed.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("total_runs"), F.max("created").alias("newest"))
+    return lookup_join(listed, per_key, RUN_KEYS, "inner", ["run_ts"])
 
 
 def runs_to_drop(df: DataFrame, keep: int = 2) -> DataFrame:
-    """Runs older than the newest ``keep`` of their state, county and provider."""
+    """Runs older than the newest ``keep`` (at least one) of their state, county and provider."""
+    if keep < 1:
+        raise ValueError("at least one run has to be kept")
+    listed = df.select(*RUN_KEYS, F.col("run_ts").cast("string").alias("run_ts")).distinct()
+    # The rank limit cuts every key to a few rows before the shuffle, however many runs it has.
     newest_first = Window.partitionBy(*RUN_KEYS).orderBy(F.col("run_ts").desc())
-    return (
-        df.select(*RUN_KEYS, F.col("run_ts").cast("string").alias("run_ts"))
-        .distinct()
-        .withColumn("age", F.row_number().over(newest_first))
-        .where(F.col("age") > F.lit(keep))
-        .drop("age")
-    )
+    kept = listed.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") <= F.lit(keep))
+    oldest_kept = kept.groupBy(*RUN_KEYS).agg(F.min("run_ts").alias("oldest_kept"))
+    dated = lookup_join(listed, oldest_kept, RUN_KEYS, "inner", ["run_ts"])
+    return dated.where(F.col("run_ts") < F.col("oldest_kept")).drop("oldest_kept")

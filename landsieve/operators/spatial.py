@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import st_distance, st_intersects
 from ..schema import BOX_COLUMNS
 from ..session import Scratch
-from .skew import BROADCAST_BYTES, salted_join
+from .skew import BROADCAST_BYTES, lookup_join, salted_join
 
 DEFAULT_CELL = 256.0
 LEVELS = 9  # level LEVELS is a single cell covering the whole plane
@@ -321,12 +321,14 @@ def attach_drive_time(
     id_col: str = "ogc_fid",
     key: str = "parcelnumb",
     iso_id: str = "id",
+    scratch: Scratch | None = None,
     **options,
 ) -> DataFrame:
     """Add ``drive_time``: the least time of any isochrone met by any parcel of the same number.
 
     Parcels without a number, or whose number meets no isochrone, get ``default``; so does every
-    parcel when there is no isochrone layer.
+    parcel when there is no isochrone layer. With ``scratch`` the times per number are written
+    down first; their size is then known, and as long as it is small no parcel has to move.
     """
     parcels = parcels.drop("drive_time")
     if isochrones is None:
@@ -335,7 +337,9 @@ def attach_drive_time(
     narrow = parcels.where(F.col(key).isNotNull()).select(id_col, key, *BOX_COLUMNS, *shape)
     met = spatial_join(narrow, isochrones, id_col, iso_id, ["time"], **options)
     best = met.groupBy(key).agg(F.min("_r_time").alias("drive_time"))
-    joined = salted_join(parcels, best, [key], "left", [id_col])
+    if scratch is not None:
+        best = scratch.materialize(best, "times")
+    joined = lookup_join(parcels, best, [key], "left", [id_col])
     return joined.withColumn("drive_time", F.coalesce(F.col("drive_time"), F.lit(float(default))))
 
 

@@ -129,7 +129,8 @@ def with_drive_times(
     if isochrones is None:
         return attach_drive_time(survivors, None, settings.drive_default)
     timed = attach_drive_time(
-        survivors, aligned(isochrones, settings), settings.drive_default, settings.id_col, cell=settings.cell
+        survivors, aligned(isochrones, settings), settings.drive_default, settings.id_col, scratch=scratch,
+        cell=settings.cell,
     )
     return scratch.materialize(timed, "timed")
 

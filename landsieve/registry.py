@@ -593,14 +593,13 @@ def q_retention(spark, sf):
 
 
 @query(
-    RUNS_SQL + """ SELECT state, county, provider, count(*) AS total_runs, max(run_ts) AS newest,
-    string_agg(run_ts, ',' ORDER BY run_ts DESC) AS runs FROM runs GROUP BY state, county, provider"""
+    RUNS_SQL + """ SELECT state, county, provider, run_ts, count(*) OVER w AS total_runs, max(run_ts) OVER w AS newest
+    FROM runs WINDOW w AS (PARTITION BY state, county, provider)"""
 )
 def q_runs_info(spark, sf):
     info = catalog.runs_info(run_rows(spark, sf))
     return info.select(
-        "state", "county", "provider", "total_runs", F.date_format("newest", "yyyyMMdd_HHmmss").alias("newest"),
-        F.array_join(F.transform("runs", lambda r: r["run_ts"]), ",").alias("runs"),
+        "state", "county", "provider", "run_ts", "total_runs", F.date_format("newest", "yyyyMMdd_HHmmss").alias("newest")
     )
 
 

@@ -253,8 +253,10 @@ def test_runs_of_providers_sharing_a_prefix_stay_apart(spark):
     df = local(spark, rows, "state string, county string, provider string, run_ts string")
     dropped = sorted((r["provider"], r["run_ts"]) for r in catalog.runs_to_drop(df).collect())
     assert dropped == [(p, s) for p in ("srp", "srp_east") for s in stamps[:2]]
-    info = catalog.runs_info(df).where("provider = 'srp'").first()
-    assert info["total_runs"] == 4 and info["runs"][0]["run_ts"] == stamps[3] and info["newest"].day == 4
+    info = catalog.runs_info(df).where("provider = 'srp'").orderBy(F.desc("created")).collect()
+    assert [r["run_ts"] for r in info] == stamps[::-1]
+    assert {(r["total_runs"], r["newest"].day) for r in info} == {(4, 4)}
+    assert catalog.runs_to_drop(df, 4).count() == 0 and catalog.runs_to_drop(df, 9).count() == 0
 
 
 @hyp(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
