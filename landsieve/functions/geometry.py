@@ -163,24 +163,31 @@ def to_wkt(wkb: bytes) -> str:
 # --- exact tests ---------------------------------------------------------------------------------
 
 class Shape:
-    """A geometry as line segments plus what is needed for containment tests."""
+    """A geometry as line segments; a point is a segment of no length.
 
-    __slots__ = ("start", "end", "area_start", "area_end", "anchors")
+    ``areal`` marks the segments that bound an area, ``anchors`` holds one vertex per part.
+    """
+
+    __slots__ = ("start", "end", "areal", "anchors")
 
     def __init__(self, wkb: bytes):
+        if len(wkb) == 21 and wkb[:5] == b"\x01\x01\x00\x00\x00":
+            self.start = self.end = self.anchors = np.frombuffer(wkb, "<f8", 2, 5).reshape(1, 2)
+            self.areal = np.zeros(1, bool)
+            return
         starts, ends, area, anchors = [], [], [], []
 
         def add(kind, part):
             if kind == "Point":
                 part = part.reshape(1, 2)
             if kind in ("Point", "LineString"):
-                anchors.append(part[0])
+                anchors.append(part[:1])
                 starts.append(part[:-1] if len(part) > 1 else part)
                 ends.append(part[1:] if len(part) > 1 else part)
                 area.append(np.zeros(len(starts[-1]), bool))
             elif kind == "Polygon":
                 for ring in part:
-                    anchors.append(ring[0])
+                    anchors.append(ring[:1])
                     starts.append(ring[:-1])
                     ends.append(ring[1:])
                     area.append(np.ones(len(ring) - 1, bool))
@@ -192,68 +199,111 @@ class Shape:
                     add(kind.removeprefix("Multi"), member)
 
         add(*decode(wkb)[:2])
-        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
-        areal = np.concatenate(area)
-        self.area_start, self.area_end = self.start[areal], self.end[areal]
-        self.anchors = np.array(anchors)
-
-    def covers_any(self, points: np.ndarray) -> bool:
-        """Whether a point is inside by the even-odd rule; holes and parts need no special case."""
-        if not len(self.area_start):
-            return False
-        (x1, y1), (x2, y2) = self.area_start.T, self.area_end.T
-        for px, py in points:
-            spans = (y1 > py) != (y2 > py)
-            if not spans.any():
-                continue
-            crossing = x1[spans] + (py - y1[spans]) / (y2[spans] - y1[spans]) * (x2[spans] - x1[spans])
-            if np.count_nonzero(crossing > px) % 2:
-                return True
-        return False
-
-
-def _side(a, b, p):
-    return np.sign((b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0]))
+        if len(starts) == 1:
+            self.start, self.end, self.areal, self.anchors = starts[0], ends[0], area[0], anchors[0]
+        else:
+            self.start, self.end, self.areal, self.anchors = map(np.concatenate, (starts, ends, area, anchors))
 
 
-def _within_box(a, b, p):
-    return ((np.minimum(a, b) <= p) & (p <= np.maximum(a, b))).all(-1)
+# Element pairs handled at once; bounds the memory of a batch.
+CHUNK = 1_000_000
 
 
-def _segments_meet(a: Shape, b: Shape) -> bool:
-    p, q = a.start[:, None], a.end[:, None]
-    r, s = b.start[None], b.end[None]
-    d1, d2, d3, d4 = _side(p, q, r), _side(p, q, s), _side(r, s, p), _side(r, s, q)
-    if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
-        return True
-    touching = (
-        ((d1 == 0) & _within_box(p, q, r))
-        | ((d2 == 0) & _within_box(p, q, s))
-        | ((d3 == 0) & _within_box(r, s, p))
-        | ((d4 == 0) & _within_box(r, s, q))
-    )
-    return bool(touching.any())
+def _ragged(left: list[np.ndarray], right: list[np.ndarray]):
+    """All combinations within each pair of arrays, flattened: row numbers per side and pair starts."""
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    counts = n * m
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    local = np.arange(counts.sum()) - np.repeat(starts, counts)
+    width = np.repeat(m, counts)
+    i = np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), counts) + local // width
+    j = np.repeat(np.concatenate([[0], np.cumsum(m)[:-1]]), counts) + local % width
+    return i, j, starts
 
 
-def shapes_intersect(a: Shape, b: Shape) -> bool:
-    return _segments_meet(a, b) or a.covers_any(b.anchors) or b.covers_any(a.anchors)
+def _side(a, b, p):
+    return np.sign((b[:, 0] - a[:, 0]) * (p[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[:, 0] - a[:, 0]))
 
 
-def _point_gaps(points, starts, ends):
-    """Shortest distance between any of the points and any of the segments."""
-    along = ends - starts
-    length = (along**2).sum(-1)
-    offset = points[:, None] - starts[None]
-    share = (offset * along).sum(-1) / np.where(length == 0, 1.0, length)
-    nearest = starts + np.clip(share, 0.0, 1.0)[..., None] * along
-    return np.sqrt(((points[:, None] - nearest) ** 2).sum(-1)).min()
+def _within_box(a, b, p):
+    return ((np.minimum(a, b) <= p) & (p <= np.maximum(a, b))).all(1)
 
 
-def shapes_distance(a: Shape, b: Shape) -> float:
-    if shapes_intersect(a, b):
-        return 0.0
-    tips_a, tips_b = np.vstack([a.start, a.end]), np.vstack([b.start, b.end])
-    return float(min(_point_gaps(tips_a, b.start, b.end), _point_gaps(tips_b, a.start, a.end)))
+def _segments_meet(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    i, j, starts = _ragged([x.start for x in a], [x.start for x in b])
+    p, q = np.concatenate([x.start for x in a])[i], np.concatenate([x.end for x in a])[i]
+    r, s = np.concatenate([x.start for x in b])[j], np.concatenate([x.end for x in b])[j]
+    d1, d2, d3, d4 = _side(p, q, r), _side(p, q, s), _side(r, s, p), _side(r, s, q)
+    meet = (d1 * d2 < 0) & (d3 * d4 < 0)
+    for zero, ends, point in ((d1, (p, q), r), (d2, (p, q), s), (d3, (r, s), p), (d4, (r, s), q)):
+        meet |= (zero == 0) & _within_box(*ends, point)
+    return np.logical_or.reduceat(meet, starts)
+
+
+def _covers_anchor(areas: list[Shape], others: list[Shape]) -> np.ndarray:
+    """Whether a part of ``others`` starts inside ``areas``, by the even-odd rule.
+
+    Holes and several parts need no special case. All areas have to have bounding segments.
+    """
+    owner = np.repeat(np.arange(len(others)), [len(o.anchors) for o in others])
+    points = np.concatenate([o.anchors for o in others])
+    begins, ends = [x.start[x.areal] for x in areas], [x.end[x.areal] for x in areas]
+    i, j, starts = _ragged([points[k : k + 1] for k in range(len(points))], [begins[k] for k in owner])
+    (px, py), (x1, y1) = points[i].T, np.concatenate([begins[k] for k in owner])[j].T
+    x2, y2 = np.concatenate([ends[k] for k in owner])[j].T
+    spans = (y1 > py) != (y2 > py)
+    height = np.where(spans, y2 - y1, 1.0)
+    right_of = spans & (x1 + (py - y1) / height * (x2 - x1) > px)
+    inside = np.add.reduceat(right_of.astype(int), starts) % 2 == 1
+    return np.bincount(owner[inside], minlength=len(others)) > 0
+
+
+def _chunks(a: list[Shape], b: list[Shape]):
+    """Consecutive pairs of limited total work."""
+    work = np.cumsum([len(x.start) * len(y.start) for x, y in zip(a, b)])
+    first = 0
+    while first < len(a):
+        done = work[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(work, done + CHUNK, "right")))
+        yield first, last
+        first = last
+
+
+def pairs_intersect(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """For each pair of shapes whether they share a point."""
+    result = np.zeros(len(a), bool)
+    for first, last in _chunks(a, b):
+        result[first:last] = _segments_meet(a[first:last], b[first:last])
+        for outer, inner in ((a, b), (b, a)):
+            open_ = [k for k in range(first, last) if not result[k] and outer[k].areal.any()]
+            if open_:
+                result[open_] = _covers_anchor([outer[k] for k in open_], [inner[k] for k in open_])
+    return result
+
+
+def _tip_gaps(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """Per pair the shortest way from a segment end of ``a`` to a segment of ``b``."""
+    tips = [np.concatenate([x.start, x.end]) for x in a]
+    i, j, starts = _ragged(tips, [x.start for x in b])
+    point = np.concatenate(tips)[i]
+    begin, end = np.concatenate([x.start for x in b])[j], np.concatenate([x.end for x in b])[j]
+    along = end - begin
+    length = (along**2).sum(1)
+    share = ((point - begin) * along).sum(1) / np.where(length == 0, 1.0, length)
+    nearest = begin + np.clip(share, 0.0, 1.0)[:, None] * along
+    return np.sqrt(np.minimum.reduceat(((point - nearest) ** 2).sum(1), starts))
+
+
+def pairs_distance(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """For each pair of shapes their distance, zero where they share a point."""
+    result = np.zeros(len(a))
+    apart = ~pairs_intersect(a, b)
+    for first, last in _chunks(a, b):
+        picked = np.flatnonzero(apart[first:last]) + first
+        if len(picked):
+            left, right = [a[k] for k in picked], [b[k] for k in picked]
+            result[picked] = np.minimum(_tip_gaps(left, right), _tip_gaps(right, left))
+    return result
 
 
 @lru_cache(maxsize=4096)
@@ -261,22 +311,25 @@ def _shape(wkb: bytes) -> Shape:
     return Shape(wkb)
 
 
+def _on_pairs(test, a: pd.Series, b: pd.Series, dtype: str) -> pd.Series:
+    known = np.flatnonzero(a.notna() & b.notna())
+    out = pd.Series([None] * len(a), dtype=dtype)
+    if len(known):
+        shapes = [[_shape(bytes(v)) for v in side.iloc[known]] for side in (a, b)]
+        out.iloc[known] = test(*shapes)
+    return out
+
+
 @F.pandas_udf(T.BooleanType())
 def st_intersects(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two WKB geometries share a point; NULL when either is NULL."""
-    return pd.Series(
-        [None if x is None or y is None else shapes_intersect(_shape(bytes(x)), _shape(bytes(y))) for x, y in zip(a, b)],
-        dtype="object",
-    )
+    return _on_pairs(pairs_intersect, a, b, "boolean")
 
 
 @F.pandas_udf(T.DoubleType())
 def st_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Planar distance between two WKB geometries; NULL when either is NULL."""
-    return pd.Series(
-        [None if x is None or y is None else shapes_distance(_shape(bytes(x)), _shape(bytes(y))) for x, y in zip(a, b)],
-        dtype="float64",
-    )
+    return _on_pairs(pairs_distance, a, b, "Float64")
 
 
 # --- column helpers ------------------------------------------------------------------------------
@@ -320,16 +373,16 @@ def envelope(wkb: pd.Series) -> pd.DataFrame:
     """Bounding box, and whether the geometry is exactly that box."""
 
     def box(value):
-        shape = _shape(bytes(value))
-        tips = np.vstack([shape.start, shape.end])
-        low, high = tips.min(0), tips.max(0)
-        corners = {tuple(p) for p in shape.start}
-        rect = (
-            len(shape.start) == 4 == len(shape.area_start)
-            and corners == {(x, y) for x in (low[0], high[0]) for y in (low[1], high[1])}
-            and len(corners) == 4
-            and bool((np.count_nonzero(shape.start != shape.end, axis=1) == 1).all())
-        )
+        shape = Shape(value)
+        start = shape.start
+        low, high = start.min(0), start.max(0)
+        if not shape.areal.all():  # an open line also ends somewhere
+            low, high = np.minimum(low, shape.end.min(0)), np.maximum(high, shape.end.max(0))
+        rect = False
+        if len(start) == 4 and shape.areal.all() and (high > low).all():
+            corners = {(x, y) for x in (low[0], high[0]) for y in (low[1], high[1])}
+            one_axis = np.count_nonzero(start != shape.end, axis=1) == 1
+            rect = bool(one_axis.all()) and {tuple(p) for p in start} == corners
         return (*low.tolist(), *high.tolist(), rect)
 
     rows = [(None,) * 5 if v is None else box(v) for v in wkb]

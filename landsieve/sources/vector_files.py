@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyarrow import fs as pafs
 
-from ..functions.geometry import Shape, encode
+from ..functions.geometry import Shape, encode, pairs_intersect
 
 
 @dataclass
@@ -120,8 +120,9 @@ def _rings_to_polygons(rings: list[np.ndarray]):
     holes = [r for r in rings if area(r) > 0] if any(area(r) <= 0 for r in rings) else []
     outlines = [Shape(encode("Polygon", s)) for s in shells] if len(shells) > 1 else []
     for hole in holes:
-        owner = next((i for i, o in enumerate(outlines) if o.covers_any(hole[:1])), 0)
-        shells[owner].append(hole)
+        corner = Shape(encode("Point", hole[0]))
+        owners = np.flatnonzero(pairs_intersect(outlines, [corner] * len(outlines))) if outlines else []
+        shells[owners[0] if len(owners) else 0].append(hole)
     return ("Polygon", shells[0]) if len(shells) == 1 else ("MultiPolygon", shells)
 
 

@@ -20,6 +20,14 @@ def shape(text):
     return g.Shape(g.from_wkt(text)[0])
 
 
+def meets_one(a, b):
+    return bool(g.pairs_intersect([a], [b])[0])
+
+
+def gap_one(a, b):
+    return float(g.pairs_distance([a], [b])[0])
+
+
 @pytest.mark.parametrize(
     "a, b, meets",
     [
@@ -47,8 +55,8 @@ def shape(text):
     ],
 )
 def test_intersects(a, b, meets):
-    assert g.shapes_intersect(shape(a), shape(b)) is meets
-    assert g.shapes_intersect(shape(b), shape(a)) is meets
+    assert meets_one(shape(a), shape(b)) is meets
+    assert meets_one(shape(b), shape(a)) is meets
 
 
 @pytest.mark.parametrize(
@@ -63,8 +71,18 @@ def test_intersects(a, b, meets):
     ],
 )
 def test_distance(a, b, gap):
-    assert g.shapes_distance(shape(a), shape(b)) == pytest.approx(gap)
-    assert g.shapes_distance(shape(b), shape(a)) == pytest.approx(gap)
+    assert gap_one(shape(a), shape(b)) == pytest.approx(gap)
+    assert gap_one(shape(b), shape(a)) == pytest.approx(gap)
+
+
+def test_batches_equal_single_pairs(monkeypatch):
+    texts = [SQUARE, DONUT, "POINT(5 5)", "POINT(0.5 0.5)", "LINESTRING(-5 3, 5 3)", "MULTIPOINT((0 0),(4 4))", "POLYGON((4 4,6 4,6 6,4 6,4 4))"]
+    pairs = [(shape(a), shape(b)) for a in texts for b in texts]
+    left, right = map(list, zip(*pairs))
+    for chunk in (1, 7, 10**6):
+        monkeypatch.setattr(g, "CHUNK", chunk)
+        assert g.pairs_intersect(left, right).tolist() == [meets_one(a, b) for a, b in pairs]
+        assert g.pairs_distance(left, right).tolist() == [gap_one(a, b) for a, b in pairs]
 
 
 @pytest.mark.parametrize(
@@ -213,7 +231,7 @@ def polygons(spark, seed, n, name):
 def test_exact_shapes_equal_brute_force(spark, max_bytes):
     left, a = polygons(spark, 7, 120, "id")
     right, b = polygons(spark, 8, 90, "rid")
-    hits = {(i, j) for i, x in a for j, y in b if g.shapes_intersect(x, y)}
+    hits = {(i, j) for i, x in a for j, y in b if meets_one(x, y)}
     got = sp.spatial_join(left, right, "id", "rid", [], 2.0, max_bytes)
     assert {(r["id"], r["_r_rid"]) for r in got.collect()} == hits
     kept = sp.spatial_anti(left, right, "id", "rid", 2.0, max_bytes)
@@ -221,7 +239,7 @@ def test_exact_shapes_equal_brute_force(spark, max_bytes):
     near = sp.nearest(left, right, 1.5, {}, "d", "id", "rid", 2.0, max_bytes)
     expected = {}
     for i, x in a:
-        best = min((g.shapes_distance(x, y), j) for j, y in b)
+        best = min((gap_one(x, y), j) for j, y in b)
         if best[0] <= 1.5:
             expected[i] = best[1]
     assert {r["id"]: r["rid"] for r in near.collect()} == expected
