@@ -6,9 +6,12 @@ lookup keys. Geometries are axis-aligned boxes, for which box overlap is exact i
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import spread_small
 
@@ -22,8 +25,15 @@ PROVIDER = "City of BUILDING - (ASIA)"
 CELL = 16.0
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is looked up in the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _mod(key: Column, n: int) -> Column:
@@ -43,13 +53,19 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    return joined.select(*_parcel_columns(spark.sparkContext.applicationId))
+
+
+@lru_cache(maxsize=4)
+def _parcel_columns(application: str) -> list[Column]:
+    """Column formulas of the parcels, built once per application."""
     key, price, segment = F.col("o_orderkey"), F.col("o_totalprice"), F.col("c_mktsegment")
     number = lambda factor, n: _mod(key * F.lit(factor), n).cast("double")
     x0 = (_mod(key, 400) * 10).cast("double")
     y0 = (_mod(key * 7, 300) * 10).cast("double")
     kv = F.element_at(F.array(*map(F.lit, ["", "34.5", "69", "138.0", "345"])), F.greatest(_mod(key, 6), F.lit(1)).cast("int"))
     city = F.concat(F.lit("City of "), segment)
-    return joined.select(
+    return [
         key.alias("ogc_fid"),
         _unless(_mod(key, 97) == 0, F.concat(F.lit("P"), (key - _mod(key, 2)).cast("string"))).alias("parcelnumb"),
         F.replace(F.lower("r_name"), F.lit(" "), F.lit("_")).alias("state2"),
@@ -83,7 +99,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
         y0.alias("miny"),
         (x0 + F.lit(6.0)).alias("maxx"),
         (y0 + F.lit(6.0)).alias("maxy"),
-    )
+    ]
 
 
 def _box(x: Column, y: Column, width: float, height: float) -> list[Column]:

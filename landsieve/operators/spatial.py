@@ -42,36 +42,38 @@ class LayerSize:
     geometry_bytes: int
 
 
+# Column formulas are built as text: one call each instead of dozens to the JVM.
+HAS_BOX = " AND ".join(f"{c} IS NOT NULL" for c in BOX_COLUMNS)
+
+
 def has_box() -> Column:
-    return reduce(Column.__and__, [F.col(c).isNotNull() for c in BOX_COLUMNS])
+    return F.expr(HAS_BOX)
 
 
-def _level(cell: float, span: float) -> Column:
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    level = F.lit(LEVELS)
-    for k in reversed(range(LEVELS)):
-        # The margin keeps rounding in ``side`` from hiding a box slightly larger than allowed.
-        level = F.when(side <= F.lit(span * cell * 4.0**k * 0.999), F.lit(k)).otherwise(level)
-    return level
+def _level(cell: float, span: float) -> str:
+    side = "greatest(maxx - minx, maxy - miny)"
+    # The margin keeps rounding in the side from hiding a box slightly larger than allowed.
+    steps = " ".join(f"WHEN {side} <= {span * cell * 4.0**k * 0.999!r}D THEN {k}" for k in range(LEVELS))
+    return f"CASE {steps} ELSE {LEVELS} END"
 
 
-def _cell(value: Column, level: Column, cell: float) -> Column:
-    return F.floor(value / (F.lit(cell) * F.pow(F.lit(4.0), level))).cast("long")
+def _cell(value: str, level: str, cell: float) -> str:
+    return f"CAST(floor({value} / ({float(cell)!r}D * power(4.0D, {level}))) AS BIGINT)"
 
 
-def _first_cell(low: str, level: Column, cell: float) -> Column:
+def _first_cell(low: str, level: str, cell: float) -> str:
     """A left box reaching in may have its corner one cell before the box itself."""
-    return _cell(F.col(low), level, cell) - F.lit(1)
+    return f"({_cell(low, level, cell)} - 1)"
 
 
 def levels_in_use(df: DataFrame, cell: float = DEFAULT_CELL) -> tuple[int, ...]:
     """Grid levels of the left boxes, by one pass over their four coordinates."""
-    return tuple(df.where(has_box()).agg(F.sort_array(F.collect_set(_level(cell, 1.0))).alias("levels")).first()["levels"])
+    return tuple(df.where(has_box()).agg(F.sort_array(F.collect_set(F.expr(_level(cell, 1.0)))).alias("levels")).first()["levels"])
 
 
-def _asked_levels(own: Column, asked: tuple[int, ...]) -> Column:
+def _asked_levels(own: str, asked: tuple[int, ...]) -> str:
     """Levels a layer row is entered on: its own and the coarser ones left rows may ask for."""
-    return F.array_union(F.array(own), F.filter(F.array(*map(F.lit, asked)), lambda k: k > own))
+    return f"array_union(array({own}), filter(array({', '.join(map(str, asked))}), k -> k > {own}))"
 
 
 ALL_LEVELS = tuple(range(LEVELS + 1))
@@ -79,56 +81,50 @@ ALL_LEVELS = tuple(range(LEVELS + 1))
 
 def layer_cells(layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS) -> DataFrame:
     """Layer rows repeated for each cell in which a left row may look for them."""
-    level = F.col("_level")
 
-    def span(low: str, high: str) -> Column:
-        cells = F.sequence(_first_cell(low, level, cell), _cell(F.col(high), level, cell))
-        return F.explode(F.when(level == LEVELS, F.array(F.lit(0).cast("long"))).otherwise(cells))
+    def span(low: str, high: str) -> str:
+        cells = f"sequence({_first_cell(low, '_level', cell)}, {_cell(high, '_level', cell)})"
+        return f"explode(CASE WHEN _level = {LEVELS} THEN array(0L) ELSE {cells} END)"
 
     return (
-        layer.where(has_box())
-        .withColumn("_for", _level(cell, SPAN))
-        .withColumn("_level", F.explode(_asked_levels(F.col("_for"), asked)))
-        .withColumn("_cx", span("minx", "maxx"))
-        .withColumn("_cy", span("miny", "maxy"))
+        layer.where(HAS_BOX)
+        .selectExpr("*", f"{_level(cell, SPAN)} AS _for")
+        .selectExpr("*", f"explode({_asked_levels('_for', asked)}) AS _level")
+        .selectExpr("*", f"{span('minx', 'maxx')} AS _cx")
+        .selectExpr("*", f"{span('miny', 'maxy')} AS _cy")
     )
 
 
 def probes(df: DataFrame, levels: tuple[int, ...] | int, cell: float = DEFAULT_CELL) -> DataFrame:
     """Left rows with the one cell they ask for each right level; no geometry, no cell."""
-    wanted = F.lit(levels) if isinstance(levels, int) else F.explode(F.array(*[F.lit(k) for k in levels]))
-    at_top = F.col("_level") == LEVELS
+    wanted = str(levels) if isinstance(levels, int) else f"explode(array({', '.join(map(str, levels))}))"
 
-    def corner(low: str) -> Column:
-        return F.when(at_top, F.lit(0).cast("long")).otherwise(_cell(F.col(low), F.col("_level"), cell))
+    def corner(low: str) -> str:
+        return f"CASE WHEN _level = {LEVELS} THEN 0L ELSE {_cell(low, '_level', cell)} END"
 
     return (
-        df.withColumn("_for", wanted)
-        .withColumn("_level", F.greatest(_level(cell, 1.0), F.col("_for")))
-        .withColumn("_cx", corner("minx"))
-        .withColumn("_cy", corner("miny"))
+        df.selectExpr("*", f"{wanted} AS _for")
+        .selectExpr("*", f"greatest({_level(cell, 1.0)}, _for) AS _level")
+        .selectExpr("*", f"{corner('minx')} AS _cx", f"{corner('miny')} AS _cy")
     )
 
 
 def measure_layers(layers: list[DataFrame], cell: float, asked: tuple[int, ...] = ALL_LEVELS) -> list[LayerSize]:
     """Rows, cell rows, grid levels and geometry volume of each layer, in one job."""
     level = _level(cell, SPAN)
-
-    def cells_at(k: Column) -> Column:
-        across = _cell(F.col("maxx"), k, cell) - _first_cell("minx", k, cell) + 1
-        up = _cell(F.col("maxy"), k, cell) - _first_cell("miny", k, cell) + 1
-        return F.when(k == LEVELS, F.lit(1.0)).otherwise(across.cast("double") * up)
-
-    cells = F.aggregate(_asked_levels(level, asked), F.lit(0.0), lambda total, k: total + cells_at(k))
+    across = f"{_cell('maxx', 'k', cell)} - {_first_cell('minx', 'k', cell)} + 1"
+    up = f"{_cell('maxy', 'k', cell)} - {_first_cell('miny', 'k', cell)} + 1"
+    at_level = f"CASE WHEN k = {LEVELS} THEN 1.0D ELSE CAST({across} AS DOUBLE) * ({up}) END"
+    cells = F.expr(f"aggregate({_asked_levels(level, asked)}, 0.0D, (total, k) -> total + {at_level})")
     rows = []
     for i, layer in enumerate(layers):
         size = F.length("geom_wkb") if "geom_wkb" in layer.columns else F.lit(0)
         rows.append(
-            layer.where(has_box()).agg(
+            layer.where(HAS_BOX).agg(
                 F.lit(i).alias("i"),
                 F.count(F.lit(1)).alias("n"),
                 F.coalesce(F.sum(cells), F.lit(0.0)).alias("cells"),
-                F.sort_array(F.collect_set(level)).alias("levels"),
+                F.sort_array(F.collect_set(F.expr(level))).alias("levels"),
                 F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"),
             )
         )
@@ -157,22 +153,11 @@ def fit_levels(
 
 def boxes_overlap(prefix: str = "_r_", within: float = 0.0) -> Column:
     """Closed bounding box overlap, or a gap of at most ``within`` on each axis."""
-    gap = F.lit(float(within))
-
-    def r(name: str) -> Column:
-        return F.col(prefix + name)
-
-    return (
-        (F.col("minx") - r("maxx") <= gap)
-        & (r("minx") - F.col("maxx") <= gap)
-        & (F.col("miny") - r("maxy") <= gap)
-        & (r("miny") - F.col("maxy") <= gap)
-    ) if within else (
-        (F.col("minx") <= r("maxx"))
-        & (r("minx") <= F.col("maxx"))
-        & (F.col("miny") <= r("maxy"))
-        & (r("miny") <= F.col("maxy"))
-    )
+    if within:
+        axes = [f"minx - {prefix}maxx", f"{prefix}minx - maxx", f"miny - {prefix}maxy", f"{prefix}miny - maxy"]
+        return F.expr(" AND ".join(f"{gap} <= {float(within)!r}D" for gap in axes))
+    ends = [("minx", f"{prefix}maxx"), (f"{prefix}minx", "maxx"), ("miny", f"{prefix}maxy"), (f"{prefix}miny", "maxy")]
+    return F.expr(" AND ".join(f"{low} <= {high}" for low, high in ends))
 
 
 def _both_rect(left: DataFrame, right: DataFrame) -> Column:
@@ -282,8 +267,13 @@ def spatial_anti(
     right_id: str = "id",
     cell: float = DEFAULT_CELL,
     max_bytes: int = BROADCAST_BYTES,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """Left rows that intersect no row of the layer; rows without geometry are kept."""
+    """Left rows that intersect no row of the layer; rows without geometry are kept.
+
+    With ``scratch`` the ids found by exact tests are written down first; as long as they are few
+    they are then broadcast and no left row has to move.
+    """
     exact = _check_shapes(left, right)
     size, asked = fit_levels(left, right, cell)
     if not size.levels:
@@ -305,7 +295,9 @@ def spatial_anti(
             return kept
     narrow = kept.select(left_id, *BOX_COLUMNS, *[c for c in ("is_rect", "geom_wkb") if c in kept.columns])
     hits = spatial_join(narrow, right, left_id, right_id, [], cell, max_bytes).select(left_id).distinct()
-    return kept.join(hits, left_id, "left_anti")
+    if scratch is not None:
+        hits = scratch.materialize(hits, "hits")
+    return lookup_join(kept, hits, [left_id], "left_anti", [left_id], max_bytes)
 
 
 def filter_airports(parcels: DataFrame, airports: DataFrame, id_col: str = "ogc_fid", **options) -> DataFrame:

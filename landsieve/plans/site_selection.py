@@ -60,7 +60,9 @@ def in_area(parcels: DataFrame, settings: Settings) -> DataFrame:
     return parcels
 
 
-def stages(airports: DataFrame | None, settings: Settings, columns: list[str]) -> list[tuple]:
+def stages(
+    airports: DataFrame | None, settings: Settings, columns: list[str], scratch: Scratch | None = None
+) -> list[tuple]:
     """Screening steps in reporting order, for ``funnel``."""
     listed: list[tuple[str, Column | object]] = [("min_size", filters.min_size(settings.min_size))]
     if isinstance(settings.exclusions, DataFrame):
@@ -70,7 +72,8 @@ def stages(airports: DataFrame | None, settings: Settings, columns: list[str]) -
         allowed = filters.not_excluded("usedesc", unwanted) & filters.not_excluded("lbcs_ownership_desc", unwanted)
         listed.append(("exclusions", allowed))
     if airports is not None:
-        listed.append(("airports", lambda df: filter_airports(df, airports, settings.id_col, cell=settings.cell)))
+        options = {"cell": settings.cell, "scratch": scratch}
+        listed.append(("airports", lambda df: filter_airports(df, airports, settings.id_col, **options)))
     listed.append(("transmission", filters.max_transmission(settings.transmission_distance)))
     if settings.min_kv is not None and "et_kv" in columns:
         listed.append(("min_kv", filters.min_kv(settings.min_kv)))
@@ -81,13 +84,17 @@ def stages(airports: DataFrame | None, settings: Settings, columns: list[str]) -
     return listed
 
 
-def screening_funnel(parcels: DataFrame, airports: DataFrame | None, settings: Settings) -> DataFrame:
+def screening_funnel(
+    parcels: DataFrame, airports: DataFrame | None, settings: Settings, scratch: Scratch | None = None
+) -> DataFrame:
     """Rows left after each screening step."""
     chosen = in_area(parcels, settings)
-    return filters.funnel(chosen, stages(aligned(airports, settings), settings, chosen.columns))
+    return filters.funnel(chosen, stages(aligned(airports, settings), settings, chosen.columns, scratch))
 
 
-def screen(parcels: DataFrame, airports: DataFrame | None, settings: Settings) -> DataFrame:
+def screen(
+    parcels: DataFrame, airports: DataFrame | None, settings: Settings, scratch: Scratch | None = None
+) -> DataFrame:
     """Parcels that pass every step.
 
     All steps are conjunctive, so the predicates go first and reach the scan; the spatial step
@@ -95,7 +102,7 @@ def screen(parcels: DataFrame, airports: DataFrame | None, settings: Settings) -
     each followed by a check that reads just enough rows.
     """
     chosen = in_area(parcels, settings)
-    steps = stages(aligned(airports, settings), settings, chosen.columns)
+    steps = stages(aligned(airports, settings), settings, chosen.columns, scratch)
     if settings.min_survivors is not None:
         for name, step in steps:
             chosen = chosen.where(step) if isinstance(step, Column) else step(chosen)
@@ -125,7 +132,7 @@ def with_drive_times(
     Drive times and both ranking passes read the survivors several times; writing them down once
     keeps the full table to a single scan.
     """
-    survivors = scratch.materialize(screen(parcels, airports, settings), "survivors")
+    survivors = scratch.materialize(screen(parcels, airports, settings, scratch), "survivors")
     if isochrones is None:
         return attach_drive_time(survivors, None, settings.drive_default)
     timed = attach_drive_time(
