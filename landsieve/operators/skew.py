@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest side that is ever broadcast with a hint.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Below this planned size even strong compression cannot hide a large table.
+TINY_BYTES = 512 * 1024
 # A key is hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE keys
 # are hot whatever the data looks like: that is the size bound of the hot-key broadcast.
 HOT_SHARE = 0.001
@@ -20,6 +23,28 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows themselves: fixed slots per column plus the length of texts and binaries."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    lengths = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c in texts]
+    row = F.lit(32 + 16 * len(df.columns)).cast("long")
+    for length in lengths:
+        row = row + length
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is known to fit a broadcast.
+
+    The planned size rules out what is too large without a job. It is a guess for compressed files,
+    so anything but a tiny table is then measured.
+    """
+    planned = planned_bytes(df)
+    if planned > max_bytes:
+        return False
+    return planned <= TINY_BYTES or measured_bytes(df) <= max_bytes
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
     """Non-NULL keys holding more than ``share`` of the keyed rows (at most ``1 / share`` rows)."""
     counts = (
@@ -79,7 +104,7 @@ def lookup_join(
     salt_by: list[str],
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a reference table: broadcast when its planned size is within bounds, salted otherwise."""
-    if planned_bytes(right) <= max_bytes:
+    """Join a reference table: broadcast when its size is known to be within bounds, salted otherwise."""
+    if is_small(right, max_bytes):
         return left.join(F.broadcast(right), on, how)
     return salted_join(left, right, on, how, salt_by)

@@ -30,7 +30,7 @@ LEVELS = 9  # level LEVELS is a single cell covering the whole plane
 SPAN = 4.0  # cells a right box may span; more cells means more layer rows but fewer vain candidates
 LIST_BYTES = 256 * 1024 * 1024  # bound of a layer broadcast as lists per cell
 WORTH_A_PASS = 16 * 1024 * 1024  # cell rows beyond this are worth looking at the left side first
-CELL_ROW_BYTES = 128  # generous size of one broadcast cell row without payload
+CELL_ROW_BYTES = 128  # generous size of one broadcast cell row without the texts of its payload
 KEYS = ["_for", "_level", "_cx", "_cy"]
 
 
@@ -40,6 +40,7 @@ class LayerSize:
     cells: int
     levels: tuple[int, ...]
     geometry_bytes: int
+    row_bytes: int  # of the widest cell row
 
 
 # Column formulas are built as text: one call each instead of dozens to the JVM.
@@ -109,8 +110,10 @@ def probes(df: DataFrame, levels: tuple[int, ...] | int, cell: float = DEFAULT_C
     )
 
 
-def measure_layers(layers: list[DataFrame], cell: float, asked: tuple[int, ...] = ALL_LEVELS) -> list[LayerSize]:
-    """Rows, cell rows, grid levels and geometry volume of each layer, in one job."""
+def measure_layers(
+    layers: list[DataFrame], cell: float, asked: tuple[int, ...] = ALL_LEVELS, payload: list[str] | None = None
+) -> list[LayerSize]:
+    """Rows, cell rows, grid levels, geometry volume and row width of each layer, in one job."""
     level = _level(cell, SPAN)
     across = f"{_cell('maxx', 'k', cell)} - {_first_cell('minx', 'k', cell)} + 1"
     up = f"{_cell('maxy', 'k', cell)} - {_first_cell('miny', 'k', cell)} + 1"
@@ -119,6 +122,9 @@ def measure_layers(layers: list[DataFrame], cell: float, asked: tuple[int, ...]
     rows = []
     for i, layer in enumerate(layers):
         size = F.length("geom_wkb") if "geom_wkb" in layer.columns else F.lit(0)
+        width = F.lit(CELL_ROW_BYTES)
+        for c in payload or []:
+            width = width + F.lit(16) + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
         rows.append(
             layer.where(HAS_BOX).agg(
                 F.lit(i).alias("i"),
@@ -126,29 +132,32 @@ def measure_layers(layers: list[DataFrame], cell: float, asked: tuple[int, ...]
                 F.coalesce(F.sum(cells), F.lit(0.0)).alias("cells"),
                 F.sort_array(F.collect_set(F.expr(level))).alias("levels"),
                 F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"),
+                F.coalesce(F.max(width), F.lit(CELL_ROW_BYTES)).cast("long").alias("width"),
             )
         )
     found = sorted(reduce(DataFrame.unionByName, rows).collect())  # one row per layer
-    return [LayerSize(r["n"], int(r["cells"]), tuple(r["levels"]), r["bytes"]) for r in found]
+    return [LayerSize(r["n"], int(r["cells"]), tuple(r["levels"]), r["bytes"], r["width"]) for r in found]
 
 
-def measure_layer(layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS) -> LayerSize:
-    return measure_layers([layer], cell, asked)[0]
+def measure_layer(
+    layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS, payload: list[str] | None = None
+) -> LayerSize:
+    return measure_layers([layer], cell, asked, payload)[0]
 
 
 def fit_levels(
-    left: DataFrame, layer: DataFrame, cell: float, size: LayerSize | None = None
+    left: DataFrame, layer: DataFrame, cell: float, payload: list[str] | None = None
 ) -> tuple[LayerSize, tuple[int, ...]]:
     """Size of a layer and the levels it is entered on.
 
     A small layer is simply entered on all levels. For a larger one a pass over the left boxes
     pays off: it tells which levels are asked for, usually one or two.
     """
-    size = size or measure_layer(layer, cell)
-    if size.cells * CELL_ROW_BYTES <= WORTH_A_PASS:
+    size = measure_layer(layer, cell, payload=payload)
+    if size.cells * size.row_bytes <= WORTH_A_PASS:
         return size, ALL_LEVELS
     asked = levels_in_use(left, cell)
-    return measure_layer(layer, cell, asked), asked
+    return measure_layer(layer, cell, asked, payload), asked
 
 
 def boxes_overlap(prefix: str = "_r_", within: float = 0.0) -> Column:
@@ -197,35 +206,35 @@ def candidate_pairs(
     payload: list[str],
     within: float = 0.0,
     cell: float = DEFAULT_CELL,
-    size: LayerSize | None = None,
     max_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+) -> tuple[DataFrame, LayerSize]:
     """Pairs whose boxes overlap (or lie within reach): left columns plus ``_r_``-prefixed ones.
 
+    Returned with the size of the layer.
+
     Layer shapes are left out of the cells; ``with_shapes`` fetches them for surviving pairs.
     """
     carried = list(dict.fromkeys([right_id, *payload, *BOX_COLUMNS, *(["is_rect"] if "is_rect" in right.columns else [])]))
     if within:
         grown = grow(right, within)
-        size, asked_levels = fit_levels(left, grown, cell)
+        size, asked_levels = fit_levels(left, grown, cell, payload)
         cells = layer_cells(grown, cell, asked_levels)
         sources = [F.col(f"_o_{c}" if c in BOX_COLUMNS else c).alias(f"_r_{c}") for c in carried]
     else:
-        size, asked_levels = fit_levels(left, right, cell, size)
+        size, asked_levels = fit_levels(left, right, cell, payload)
         cells = layer_cells(right, cell, asked_levels)
         sources = [F.col(c).alias(f"_r_{c}") for c in carried]
     cells = cells.select(*KEYS, *sources)
     asked = probes(left.where(has_box()), size.levels, cell) if size.levels else probes(left.limit(0), 0, cell)
     residual = boxes_overlap(within=within)
 
-    row_bytes = CELL_ROW_BYTES + 32 * len(payload)
-    if size.cells * row_bytes <= max_bytes:
+    if size.cells * size.row_bytes <= max_bytes:
         keyed = cells.withColumnsRenamed({k: f"_k{k}" for k in KEYS})
         match = reduce(Column.__and__, [F.col(k) == F.col(f"_k{k}") for k in KEYS])
         pairs = asked.join(F.broadcast(keyed), match & residual).drop(*[f"_k{k}" for k in KEYS])
     else:
         pairs = salted_join(asked, cells, KEYS, "inner", [left_id], residual)
-    return pairs.drop(*KEYS)
+    return pairs.drop(*KEYS), size
 
 
 def with_shapes(
@@ -249,8 +258,7 @@ def spatial_join(
 ) -> DataFrame:
     """Inner join on intersection: left columns plus the payload of the layer as ``_r_<name>``."""
     exact = _check_shapes(left, right)
-    size = measure_layer(right, cell)
-    pairs = candidate_pairs(left, right, left_id, right_id, payload, cell=cell, size=size, max_bytes=max_bytes)
+    pairs, size = candidate_pairs(left, right, left_id, right_id, payload, cell=cell, max_bytes=max_bytes)
     if exact:
         settled = _both_rect(left, right)
         pairs = with_shapes(pairs, right, left_id, right_id, size, max_bytes)
@@ -279,7 +287,7 @@ def spatial_anti(
     if not size.levels:
         return left
     kept = left
-    broadcastable = size.cells * CELL_ROW_BYTES <= max_bytes
+    broadcastable = size.cells * size.row_bytes <= max_bytes
     if broadcastable:
         # One map-side anti join per layer level settles every pair that boxes decide.
         flags = ["is_rect"] if "is_rect" in right.columns else []
@@ -372,8 +380,8 @@ def _search_in_place(
     flags = [c for c in ("is_rect",) if c in layer.columns]
     grown = [grow(layer, ring) for ring in rings]
     asked = levels_in_use(df, cell)
-    sizes = measure_layers(grown, cell, asked)
-    if sum(z.cells for z in sizes) * (CELL_ROW_BYTES + 32 * len(payload)) > max_bytes:
+    sizes = measure_layers(grown, cell, asked, payload)
+    if sum(z.cells * z.row_bytes for z in sizes) > max_bytes:
         return None
     originals = [F.col(f"_o_{c}").alias(c) for c in BOX_COLUMNS]
     entry = F.struct(F.col(layer_id).alias("id"), *originals, *map(F.col, dict.fromkeys([*payload, *flags])))
@@ -440,7 +448,7 @@ def nearest(
             *narrow.columns, F.col("_e.entry.id").alias(f"_r_{layer_id}"), *[F.col(f"_e.entry.{c}").alias(f"_r_{c}") for c in carried]
         )
     else:
-        pairs = candidate_pairs(narrow, layer, id_col, layer_id, list(payload), max_dist, cell, max_bytes=max_bytes)
+        pairs, _ = candidate_pairs(narrow, layer, id_col, layer_id, list(payload), max_dist, cell, max_bytes)
         pairs = pairs.where(box_gap() <= limit)
     gap = box_gap()
     if exact:

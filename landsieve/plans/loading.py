@@ -15,7 +15,7 @@ from ..operators.standardize import apply_aliases, cast_parcels, schema_report,
 from ..schema import COLUMN_ALIASES, PARCEL_COLUMNS
 from ..session import Scratch
 from ..sources.discover import discover_layers, discover_named_layers, list_files, path_exists
-from ..sources.readers import SOURCE, file_columns, file_headers, read_layer, read_layers
+from ..sources.readers import SOURCE, WKT_COLUMNS, file_columns, file_headers, read_layer, read_layers
 from ..sources.sinks import write_parcels, write_schema_report
 
 log = logging.getLogger(__name__)
@@ -41,7 +41,9 @@ def load_parcels(
     parcels = with_envelope(typed)
     problems = headers.where(F.col("error").isNotNull()).select("path", "error")
     if require_geometry:
-        bare = headers.where(F.col("error").isNull() & ~F.col("has_geometry") & (F.col("ext") != "csv"))
+        texts = F.arrays_overlap("columns", F.array(*map(F.lit, WKT_COLUMNS)))
+        shapeless = F.when(F.col("ext") == "csv", ~texts).otherwise(~F.col("has_geometry"))
+        bare = headers.where(F.col("error").isNull() & shapeless)
         problems = problems.unionByName(bare.select("path", F.lit("no geometry").alias("error")))
     return parcels, problems
 

@@ -7,7 +7,7 @@ from conftest import SMALL, local
 
 from landsieve import Settings, fixtures as fx
 from landsieve.operators import filters, scoring, spatial as sp, stats
-from landsieve.operators.skew import lookup_join
+from landsieve.operators.skew import is_small, lookup_join, measured_bytes, planned_bytes
 from landsieve.plans.site_selection import rank, screen
 from landsieve.session import spread_small
 
@@ -92,3 +92,12 @@ def test_small_scans_are_spread_and_large_ones_left_alone(spark, table):
 def test_funnel_counts_attribute_steps_in_one_pass(spark, table):
     stages = [("a", filters.min_size()), ("b", filters.max_transmission()), ("c", filters.max_roadway(500))]
     assert plan(filters.funnel(table, stages)).count("FileScan") == 1
+
+
+def test_broadcast_needs_a_known_size(spark, tmp_path):
+    """A file that is small only because it compresses well is measured, and refused."""
+    path = str(tmp_path / "wide")
+    spark.range(200_000).selectExpr("id", "repeat('x', 400) AS t").repartition(4).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert planned_bytes(df) < 8 << 20 and measured_bytes(df) > 80 << 20
+    assert not is_small(df) and is_small(df, 1 << 30) and is_small(df.select("id"))

@@ -106,7 +106,7 @@ def test_parcels_are_standardised_from_all_files(spark, tmp_path, scratch):
     assert (rows["A"]["county"], rows["A"]["_folder"], rows["A"]["path"], rows["I"]["_folder"]) == ("Pima County", "pima", "/us/az", "ks")
     assert rows["A"]["is_rect"] and not rows["B"]["is_rect"] and rows["G"]["geom_wkb"] is None
     reasons = {r["path"].split("/")[-1]: r["error"] for r in problems.collect()}
-    assert set(reasons) == {"bad.gpkg", "bare.geojson"} and reasons["bare.geojson"] == "no geometry"
+    assert set(reasons) == {"bad.gpkg", "bare.geojson", "plain.csv"} and reasons["bare.geojson"] == "no geometry"
     everything, _ = load_parcels(spark, str(root), scratch, require_geometry=False)
     assert sorted(r[0] for r in everything.select("parcelnumb").collect()) == sorted([*rows, "E", "H"])
 
