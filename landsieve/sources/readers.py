@@ -248,9 +248,11 @@ def read_parcels(spark: SparkSession, path: str, state: str, county: str | None
     return parcels if county is None else parcels.where(F.col("county") == county)
 
 
-def read_results(spark: SparkSession, path: str, key, run_ts: str) -> DataFrame:
-    """One result snapshot, by partition pruning."""
-    results = spark.read.option("recursiveFileLookup", "false").parquet(path)
+def read_results(spark: SparkSession, path: str, key, run_ts: str | None = None) -> DataFrame:
+    """One result snapshot, by partition pruning; the newest one when no run is named."""
+    results = spark.read.parquet(path)
     for name, value in key.columns().items():
         results = results.where(F.col(name) == value)
-    return results.where(F.col("run_ts").cast("string") == run_ts)
+    if run_ts is None:
+        run_ts = results.agg(F.max(F.col("run_ts").cast("string"))).first()[0]
+    return results.where(F.col("run_ts").cast("string") == F.lit(run_ts))

@@ -237,6 +237,8 @@ def test_result_runs(spark, tmp_path, ranked):
     assert catalog.runs_to_drop(left).count() == 0 and left.count() == 12
     assert readers.read_results(spark, path, keys[0], "20240103_000000").count() == 3
     assert readers.read_results(spark, path, keys[0], "20240101_000000").count() == 0
+    newest = readers.read_results(spark, path, keys[0])
+    assert newest.count() == 3 and newest.first()["run_ts"] == "20240103_000000"
 
 
 def test_export_report_and_features(spark, tmp_path, ranked):
