@@ -22,6 +22,8 @@ def build_session(app: str = "landsieve", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Folder names such as 001 are names, not numbers.
+        "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }

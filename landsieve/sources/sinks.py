@@ -88,8 +88,9 @@ def write_results(df: DataFrame, path: str, key: RunKey, run_ts: str | None = No
 def drop_runs(spark: SparkSession, path: str, runs: DataFrame) -> int:
     """Delete the partitions of outdated runs (one row per run, not per parcel)."""
     dropped = 0
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for run in runs.select(*RUN_KEYS, "run_ts").toLocalIterator():
-        folder = "/".join(f"{name}={run[name]}" for name in (*RUN_KEYS, "run_ts"))
+        folder = "/".join(escape(name, run[name]) for name in (*RUN_KEYS, "run_ts"))
         dropped += bool(delete_path(spark, f"{path.rstrip('/')}/{folder}"))
     return dropped
 

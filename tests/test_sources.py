@@ -225,13 +225,14 @@ def ranked(spark):
 
 def test_result_runs(spark, tmp_path, ranked):
     path = str(tmp_path / "results")
-    keys = [sinks.RunKey("az", "pima", "City of Mesa - (AZ)"), sinks.RunKey("az", None, None)]
+    keys = [sinks.RunKey("az", "st. john's #1", "City of Mesa - (AZ)"), sinks.RunKey("04", None, None)]
     for key in keys:
         for stamp in ("20240101_000000", "20240102_000000", "20240103_000000"):
             sinks.write_results(ranked.drop("geom_wkb"), path, key, stamp)
     table = spark.read.parquet(path)
     info = {(r["county"], r["provider"]): r["total_runs"] for r in catalog.runs_info(table).collect()}
-    assert info == {("pima", "city_of_mesa__az"): 3, ("all_counties", "all_providers"): 3}
+    assert sorted({r["state"] for r in catalog.runs(table).collect()}) == ["04", "az"]
+    assert info == {("st. john's #1", "city_of_mesa__az"): 3, ("all_counties", "all_providers"): 3}
     assert sinks.drop_runs(spark, path, catalog.runs_to_drop(table)) == 2
     left = spark.read.parquet(path)
     assert catalog.runs_to_drop(left).count() == 0 and left.count() == 12
