@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import slices, whole_text
+from .store import Store, slices, whole_text
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common chat templates.
@@ -29,28 +29,27 @@ CONTROL = [
 ]
 #: Follows the first character of a control string in a text; one more for each that is there already.
 MARK = "\\"
-_FOUND = re.compile("|".join(f"({re.escape(c[0])})({re.escape(MARK)}*)({re.escape(c[1:])})" for c in sorted(CONTROL, key=len, reverse=True)))
-
-
-def _parts(found: re.Match) -> list[str]:
-    """First character, marks, rest of a control string."""
-    return [x for x in found.groups() if x is not None]
+_REST = "|".join(re.escape(c[1:]) for c in sorted(CONTROL, key=len, reverse=True))
+#: All control strings begin with one of two signs, so most of a text is passed over quickly.
+_FOUND = re.compile(rf"([<\[])({re.escape(MARK)}*)({_REST})")
 
 
 def escape(text: str) -> str:
     def marked(found: re.Match) -> str:
-        first, marks, rest = _parts(found)
+        first, marks, rest = found.groups()
         return first + marks + MARK + rest
 
-    return _FOUND.sub(marked, text)
+    return _FOUND.sub(marked, text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
+    """Undoes ``escape`` on any text."""
+
     def unmarked(found: re.Match) -> str:
-        first, marks, rest = _parts(found)
+        first, marks, rest = found.groups()
         return first + marks[: -len(MARK)] + rest
 
-    return _FOUND.sub(unmarked, text)
+    return _FOUND.sub(unmarked, text) if MARK in text else text
 
 
 class Segments:
@@ -125,6 +124,7 @@ class ChatFormat:
 
         rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), whole_text("role").alias("role"), whole_text("text").alias("text"))
         rows = rows.mapInArrow(assembled, "conv_id long, turn long, role string, text string, ids array<int>, mask array<byte>, formatted string")
+        rows = Store(turns.sparkSession).write(rows, "turns")  # read twice, assembled once
         stretch = F.floor(F.col("turn") / self.stretch)
         inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("stretch", stretch)
