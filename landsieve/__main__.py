@@ -110,6 +110,13 @@ def listed(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return catalog.providers(readers.read_parcels(spark, f"{args.tables}/parcels", args.state, args.county))
 
 
+def print_rows(df: DataFrame) -> None:
+    """All rows as tab-separated lines under a heading, a partition at a time."""
+    print(*df.columns, sep="\t")
+    for row in df.toLocalIterator():
+        print(*["" if value is None else value for value in row], sep="\t")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> object:
     args = parser().parse_args(argv)
     spark = spark or build_session()
@@ -117,10 +124,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         args.tables = args.tables.rstrip("/")
     if args.command == "load":
         with Scratch(spark) as scratch:
-            load_all(spark, args.raw, args.tables, scratch, args.state, args.scripts).show(1000, False)
+            print_rows(load_all(spark, args.raw, args.tables, scratch, args.state, args.scripts))
         return None
     if args.command == "schema":
-        schema_check(spark, args.raw, args.report)[1].drop("state_columns").show(100, False)
+        print_rows(schema_check(spark, args.raw, args.report)[1].drop("state_columns"))
         return None
     if args.command == "select":
         stamp = select(spark, args)
@@ -131,7 +138,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         dropped = sinks.drop_runs(spark, results, catalog.runs_to_drop(spark.read.parquet(results), args.keep))
         print(f"dropped {dropped} runs")
         return dropped
-    listed(spark, args).show(1000, False)
+    print_rows(listed(spark, args))
     return None
 
 

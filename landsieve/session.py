@@ -64,7 +64,7 @@ def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local-mode session without that setting falls back to a temporary folder; on a
-    cluster the answer is then ``None`` and callers keep their plans lazy instead.
+    cluster the answer is then ``None``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -90,9 +90,13 @@ class Scratch:
         self._paths: list[str] = []
 
     def materialize(self, df: DataFrame, name: str = "step") -> DataFrame:
-        """Write ``df`` once and read it back; unchanged when no shared folder is known."""
+        """Write ``df`` once and read it back.
+
+        On a cluster that names no shared folder this fails: without one, every consumer would
+        compute ``df`` again.
+        """
         if self.root is None:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"{self.root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self._paths.append(path)

@@ -116,8 +116,8 @@ def geojson_columns(spark: SparkSession, paths: list[str], layout: str = "lines"
 def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str], on_error: str = "raise") -> DataFrame:
     """Shapefile and GeoPackage records: ``source_file``, the named attributes as text, ``geom_wkb``, ``srid``.
 
-    ``headers`` comes from ``file_headers``. ``on_error="skip"`` leaves out ranges that cannot be
-    decoded instead of failing.
+    ``headers`` comes from ``file_headers``. ``on_error="skip"`` leaves out records that cannot be
+    decoded, and files whose header cannot, instead of failing.
     """
     schema = T.StructType(
         [T.StructField(SOURCE, T.StringType())]
@@ -137,19 +137,31 @@ def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str
     )
     names = schema.names
 
+    def records(path: str, ext: str, header, start: int, stop: int) -> list[tuple]:
+        rows = vf.ROWS[ext](path, header, start, stop)
+        return [(path, *[properties.get(c) for c in columns], geometry, header.srid) for properties, geometry in rows]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, ext, start, stop in batch.itertuples(index=False):
                 try:
                     header = vf.HEADERS[ext](path)
-                    rows = [
-                        (path, *[properties.get(c) for c in columns], geometry, header.srid)
-                        for properties, geometry in vf.ROWS[ext](path, header, int(start), int(stop))
-                    ]
                 except Exception:
                     if on_error != "skip":
                         raise
                     continue
+                try:
+                    rows = records(path, ext, header, int(start), int(stop))
+                except Exception:
+                    if on_error != "skip":
+                        raise
+                    # A damaged record costs itself alone: the slice is read again, record by record.
+                    rows = []
+                    for at in range(int(start), int(stop) + 1):
+                        try:
+                            rows += records(path, ext, header, at, at)
+                        except Exception:  # noqa: BLE001  whatever the record makes the decoder do
+                            continue
                 yield pd.DataFrame(rows, columns=names).astype({"srid": "Int32"})
 
     return slices.mapInPandas(read, schema)
@@ -157,10 +169,13 @@ def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str
 
 def read_csv_layer(
     spark: SparkSession, paths: list[str], header: list[str], columns: list[str], require_geometry: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV files sharing one header: ``source_file``, the named columns as text, ``geom_wkb``, ``srid``.
 
+    Quoted cells may hold line breaks, as legal descriptions do; a file is then read by one task.
+    Only files known to have none should be split with ``multi_line=False``.
+
     A well-known text column becomes the geometry. Without one the geometry is NULL, or the files
     yield nothing when ``require_geometry`` is set.
     """

@@ -19,12 +19,12 @@ BLANK_MARKS = [
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A CSV sheet as text columns; repeated header names are numbered, blank marks become NULL."""
-    first = spark.read.options(header=False, escape='"').csv(path).head()
+    first = spark.read.options(header=False, escape='"', multiLine=True).csv(path).head()
     if first is None:
         raise ValueError(f"{path}: empty sheet")
     names = unique_names([v if v is not None else f"Unnamed: {i}" for i, v in enumerate(first)])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).options(header=True, enforceSchema=True, escape='"').csv(path)
+    rows = spark.read.schema(schema).options(header=True, enforceSchema=True, escape='"', multiLine=True).csv(path)
     return rows.select(*[F.when(~quoted(n).isin(BLANK_MARKS), quoted(n)).alias(n) for n in names])
 
 

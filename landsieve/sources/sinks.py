@@ -78,10 +78,13 @@ def write_filtered(df: DataFrame, root: str) -> None:
 
 
 def write_results(df: DataFrame, path: str, key: RunKey, run_ts: str | None = None) -> str:
-    """Append a ranked snapshot as one partition of the results table; returns its run stamp."""
+    """Write a ranked snapshot as one partition of the results table; returns its run stamp.
+
+    The same run written again replaces its partition and leaves all others alone.
+    """
     stamp = run_ts or run_stamp()
     keyed = df.withColumns({**key.columns(), "run_ts": F.lit(stamp)})
-    keyed.write.mode("append").partitionBy(*RUN_KEYS, "run_ts").parquet(path)
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS, "run_ts").parquet(path)
     return stamp
 
 
