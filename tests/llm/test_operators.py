@@ -373,6 +373,31 @@ def test_lines(spark, empty):
     assert LineDedup().assign(empty).count() == 0
 
 
+def test_meetings_lose_no_similar_lines(spark):
+    """Edited copies, some similar to each other but not to the pivot: all similar pairs that are not joined to it meet."""
+    random.seed(5)
+    letters = "abcdefghijklmnop "
+    edit = lambda text, n: "".join(random.choice(letters) if i in at else c for at in [set(random.sample(range(len(text)), n))] for i, c in enumerate(text))
+    base = "".join(random.choice(letters) for _ in range(400))
+    lines = [base, *[edit(base, random.randrange(1, 16)) for _ in range(25)]]
+    lines += [edit(line, 2) for line in lines[1:20]] + [base[:330], base[:320] + "zz", base[40:], "ab", "abc"]
+    rows = list(enumerate(dict.fromkeys(lines)))
+    sets = {i: {x[j : j + 8] for j in range(max(1, len(x) - 7))} for i, x in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    operator = LineDedup()
+    texts = local(spark, rows, "line_id long, line string")
+    compared = operator.compared(local(spark, [(0, i) for i, _ in rows[1:]], "a long, b long"), texts).collect()
+    for r in compared:
+        assert abs(r["similarity"] - alike[0, r["b"]]) < 1e-12 and r["common"] == len(sets[0] & sets[r["b"]]) and r["size_b"] == len(sets[r["b"]])
+    rooted = [(0, r["b"], r["size_b"], r["common"], r["outside"], 0 if r["similarity"] >= 0.8 else r["b"], r["similarity"] < 0.8) for r in compared]
+    met = operator.meetings(local(spark, rooted, "pivot long, line_id long, size long, common long, outside array<long>, root long, apart boolean"))
+    apart = {r[1] for r in rooted if r[6]}
+    want = {p for p, s in alike.items() if s >= 0.8 and 0 not in p and apart & set(p)}
+    got = {(r["a"], r["b"]) for r in met.collect()}
+    assert len(want) > 5 and want <= got
+    assert len(got) < sum(1 for p in alike if 0 not in p and apart & set(p)) / 2
+
+
 # --- language ------------------------------------------------------------------------------------
 
 def test_language(spark, odd, empty):
