@@ -17,6 +17,10 @@ class WordTokens:
     seen before costs one lookup. Chunks that end in full stops or commas after a letter fall apart
     there as well. Texts that may hold one of the tokenizer's special strings are encoded directly,
     since those are recognised before lower-casing.
+
+    The tokenizer composes signs before it lower-cases. A-Z compose with signs of U+0300 to U+037F
+    alone (bytes CC and CD), and some capitals do not where their small letters do; so in texts with
+    such signs, chunks that are not ASCII reach the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -89,6 +93,9 @@ class WordTokens:
         for i in direct:
             lowered[i] = b""
         split = [t.split() for t in lowered]
+        for i, t in enumerate(lowered):
+            if b"\xcc" in t or b"\xcd" in t:
+                split[i] = [w.lower() if w.isascii() else w for w in texts[i].encode().split()]
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
         words = list(set().union(*split))

@@ -259,6 +259,19 @@ def test_word_tokens_are_the_library_s():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokens_of_decomposed_capitals():
+    """T, J, H, W and Y do not compose with signs that their small letters compose with."""
+    from tokenizers import Tokenizer
+
+    plain, encoder = Tokenizer.from_file(WORDS), word_tokens(WORDS)
+    random.seed(16)
+    marks = ["\u0308", "\u030a", "\u030c", "\u0331", "\u0323", "\u0344", "\u0338", "\u05b0", "\u1dc5"]
+    texts = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZtjhwy" for b in marks]
+    texts += ["".join(random.choice([*"TJHWYtjhwyaE .,é", *marks]) for _ in range(random.randrange(15))) for _ in range(4000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, texts, window=2048):
     from tokenizers import Tokenizer
 
