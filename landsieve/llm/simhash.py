@@ -93,17 +93,27 @@ class SimHashDedup:
     shard: int = 256
     block: int = 4096
 
-    def fingerprints(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """row_id, fp (as signed long) of every row, over whole texts. Null texts count as empty."""
+    def fingerprints(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+        """row_id, fp (as signed long) of every row, over whole texts. Null texts count as empty.
+
+        ``marked`` adds ``mark``, a hash of the text.
+        """
         words = self.words
+        more = ["mark"] if marked else []
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 values = np.array([fingerprint(x, words) for x in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["row_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64)), *part.columns[2:]], ["row_id", "fp", *more])
 
-        rows = docs.select(F.col(id_col).cast("long").alias("row_id"), whole_text(text_col).alias("text"))
-        return rows.mapInArrow(hashed, "row_id long, fp long")
+        rows = docs.select(F.col(id_col).cast("long").alias("row_id"), whole_text(text_col).alias("text"), *[F.xxhash64(whole_text(text_col)).alias(c) for c in more])
+        return rows.mapInArrow(hashed, "row_id long, fp long" + ", mark long" * len(more))
+
+    def rooted(self, store: Store, rows: DataFrame) -> DataFrame:
+        """fp, first (its smallest id), root (of its component) for each fingerprint of ``rows``."""
+        distinct = store.write(rows.groupBy("fp").agg(F.min("row_id").alias("first")), "distinct")
+        roots = connected_components(store, self.links(store, distinct)).withColumnRenamed("node", "fp")
+        return distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
     def shard_keys(self, fingerprints: int) -> list[tuple[int, ...]]:
         """Which blocks of bits make up each key: two fingerprints within the radius share one at least.
@@ -178,9 +188,7 @@ class SimHashDedup:
         """
         store = Store(docs.sparkSession)
         rows = store.write(self.fingerprints(docs, id_col, text_col), "fingerprints")
-        distinct = store.write(rows.groupBy("fp").agg(F.min("row_id").alias("first")), "distinct")
-        roots = connected_components(store, self.links(store, distinct)).withColumnRenamed("node", "fp")
-        placed = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        placed = self.rooted(store, rows)
         least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
         placed = store.write(placed.join(least, "root").select("fp", "component_id"), "placed")
         return rows.join(placed, "fp").select("row_id", "fp", "component_id")
@@ -188,12 +196,19 @@ class SimHashDedup:
     def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row of each component stays, that of the smallest id, with all columns of ``docs``.
 
-        Of rows repeated with that id, one stays.
+        Null ids come last; of rows with one id, that of the smallest fingerprint, then hash of text,
+        stays. Rows are found by id and hash of text, so ids that are null or shared by
+        different texts cost no component its row.
         """
-        kept = self.assign(docs, id_col, text_col).filter(F.col("row_id").eqNullSafe(F.col("component_id"))).select("row_id").distinct()
-        rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"))
-        joined = rows.join(kept, F.col("own_id").eqNullSafe(F.col("row_id")), "left_semi")
-        return joined.dropDuplicates(["own_id"]).select("row.*")
+        store = Store(docs.sparkSession)
+        rows = store.write(self.fingerprints(docs, id_col, text_col, marked=True), "fingerprints")
+        best = F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "fp")).alias("best")
+        kept = self.rooted(store, rows).groupBy("root").agg(best).select("root", F.col("best.first").alias("first"), F.col("best.fp").alias("fp"))
+        found = rows.join(kept, "fp").filter(F.col("row_id").eqNullSafe(F.col("first")))
+        found = store.write(found.groupBy("root", "row_id").agg(F.min("mark").alias("mark")), "kept")
+        marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(whole_text(text_col)).alias("own_mark"))
+        joined = marked.join(found, F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_mark") == F.col("mark")))
+        return joined.dropDuplicates(["root"]).select("row.*")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -176,6 +176,18 @@ def test_simhash(spark, odd, empty):
     assert SimHashDedup().assign(empty).count() == SimHashDedup().deduplicate(empty).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_component(spark):
+    """Whatever the ids: null ones, and one shared by different texts, by which other components must not lose their row."""
+    random.seed(17)
+    text = [" ".join(random.choice("abcdefghijklmnop") * 5 for _ in range(40)) for _ in range(6)]
+    prints = [brute_fingerprint(x) for x in text]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 4
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (5, text[2]), (7, text[3]), (7, text[4]), (7, text[4]), (3, text[4]), (7, text[5]), (9, text[5]), (None, None)]
+    kept = SimHashDedup().deduplicate(local(spark, rows, "doc_id long, text string").repartition(4)).collect()
+    want = {(None, text[0]), (None, text[1]), (5, text[2]), (7, text[3]), (3, text[4]), (7, text[5]), (None, None)}
+    assert len(kept) == len(want) and set(map(tuple, kept)) == want
+
+
 # --- embeddings ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("operator", [EmbeddingDedup(), EmbeddingDedup(block=16)])
