@@ -63,18 +63,23 @@ class Packing:
 
         The pieces are written first: tokenising is done once, and the windows do not change when a
         task is repeated. They are dealt by a hash into blocks of bounded size; every block is
-        packed on its own, so hot documents, which have many pieces, spread over all blocks. Full
-        pieces are windows of their own. Sequence ids are unique, not gapless.
+        packed on its own, so hot documents, which have many pieces, spread over all blocks. So do
+        repeated rows, by a number that each piece gets when it is written. Full pieces are windows
+        of their own. Sequence ids are unique, not gapless.
         """
         store = Store(pieces.sparkSession)
-        pieces = store.write(pieces, "pieces")
+        number = "piece"
+        while number in pieces.columns:
+            number += "_"
+        plain = pieces.schema.fields
+        pieces = store.write(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
         totals = pieces.filter(F.col("length") < self.window).agg(F.sum("length").alias("tokens"), F.count("*").alias("n")).first()
         blocks = max(1, -(-(totals["tokens"] or 0) // (self.window * self.block_windows)), -(-totals["n"] // self.block_pieces))
         window = self.window
-        inner = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+        inner = T.StructType([*plain, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
         def packed(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-            block = block.drop(columns="block").sort_values(["length", *order], ascending=False, kind="stable").reset_index(drop=True)
+            block = block.sort_values(["length", *order, number], ascending=False, kind="stable").drop(columns=["block", number]).reset_index(drop=True)
             which, _ = pack_block(block["length"].to_numpy(np.int64), window)
             block["sequence_id"] = (int(key[0]) << 32) + which
             block["offset"] = block.groupby("sequence_id")["length"].cumsum() - block["length"]
@@ -83,6 +88,6 @@ class Packing:
         order = [f.name for f in pieces.schema.fields if f.name in ("row_id", "start")]
         rest = pieces.filter(F.col("length") < window).withColumn("block", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if t == "bigint"]), F.lit(blocks)))
         filled = rest.groupBy("block").applyInPandas(packed, inner)
-        own = pieces.filter(F.col("length") >= window)
+        own = pieces.filter(F.col("length") >= window).drop(number)
         own = own.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
         return filled.unionByName(own)

@@ -320,6 +320,19 @@ def test_packing(spark, odd, empty):
     assert operator.pack(operator.pieces(empty)).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    operator = Packing(WORDS, block_pieces=100)
+    pieces = operator.pieces(local(spark, [(1, "abc")] * 3000, "doc_id long, text string")).withColumn("piece", F.lit("x"))
+    packed = operator.pack(pieces)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    rows = packed.collect()
+    assert len(rows) == 3000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3000
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["sequence_id"] >> 32] += 1
+    assert max(sizes.values()) < 200
+
+
 def test_differencing():
     chance = np.random.default_rng(8)
     for n in (0, 1, 2, 7, 400):
