@@ -38,12 +38,35 @@ def grams(text: str, width: int, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+@dataclass(frozen=True)
+class SeenWeights:
+    """The weights of many languages: n-grams that a language lacks all have its ``unseen``.
+
+    For n-gram g, the languages ``lang[starts[g] : starts[g + 1]]`` have ``more`` than that.
+    """
+
+    unseen: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def summed(self, found: np.ndarray) -> np.ndarray:
+        times = np.bincount(found, minlength=len(self))
+        seen = np.flatnonzero(times)
+        counts = self.starts[seen + 1] - self.starts[seen]
+        at = np.arange(counts.sum()) + np.repeat(self.starts[seen] - np.cumsum(counts) + counts, counts)
+        return len(found) * self.unseen + np.bincount(self.lang[at], self.more[at] * np.repeat(times[seen], counts), len(self.unseen))
+
+
 @dataclass(frozen=True)
 class TextModel:
     """Log probabilities of hashed n-grams, one column for each language: naive Bayes with add-``alpha`` smoothing."""
 
     languages: tuple[str, ...]
-    weights: np.ndarray = field(repr=False)
+    weights: np.ndarray | SeenWeights = field(repr=False)
     width: int = 3
 
     def scores(self, text: str, evidence: float) -> tuple[np.ndarray, int]:
@@ -53,13 +76,15 @@ class TextModel:
             return np.zeros(len(self.languages)), 0
         total = np.zeros(len(self.languages))
         for start in range(0, len(found), 65536):
-            total += self.weights[found[start : start + 65536]].sum(axis=0, dtype=np.float64)
+            part = found[start : start + 65536]
+            total += self.weights.summed(part) if isinstance(self.weights, SeenWeights) else self.weights[part].sum(axis=0, dtype=np.float64)
         return total * (min(len(found), evidence) / len(found)), len(found)
 
 
 @dataclass(frozen=True)
 class LanguageId:
     """``sample``: labelled rows the text model is fitted on, an equal share for each language, whole texts.
+    All labels are fitted, with up to ``share`` rows each at least. ``dense``: languages up to which each has a weight for all n-grams.
 
     ``strength``: pseudo-rows of the level above in each smoothed table. ``evidence``: independent
     n-grams that a text counts for at most; it keeps long texts from silencing all else.
@@ -73,36 +98,43 @@ class LanguageId:
     strength: float = 20.0
     evidence: float = 200.0
     reject_below: float = 0.5
-    most_languages: int = 200
+    share: int = 20
+    dense: int = 200
 
     def fit(self, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
-        """Fits the text model on a bounded sample, the same for each run: the rows with the smallest hashes of id and text."""
-        rows = labelled.select(F.xxhash64(F.col(id_col), text_col).alias("draw"), whole_text(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND text <> ''")
-        counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(self.most_languages).collect()
+        """Fits the text model on a sample bounded for each label, the same for each run: the rows with the smallest hashes of id and text.
+
+        Labels that differ in case are one, as in ``identify``.
+        """
+        rows = labelled.select(F.xxhash64(F.col(id_col), text_col).alias("draw"), whole_text(text_col).alias("text"), F.lower(F.col(label_col).cast("string")).alias("lang")).filter("lang IS NOT NULL AND text <> ''")
+        counts = rows.groupBy("lang").count().collect()
         languages = tuple(sorted(r["lang"] for r in counts))
         if not languages:
             return TextModel((), np.zeros((self.buckets, 0)), self.width)
-        share = max(1, self.sample // len(languages))
+        share = max(self.share, self.sample // len(languages))
         width, buckets, number = self.width, self.buckets, {x: i for i, x in enumerate(languages)}
-        total = {r["lang"]: r["count"] for r in counts}
-        # Twice the share by hash on average, so that ``limit`` has enough; the order settles which.
+        # Twice the share by hash on average, so that the window sorts few; the order settles which.
         chance = F.pmod("draw", F.lit(1_000_003)) / 1_000_003
-        wanted = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, (2 * share + 20) / total[x]))) for x in languages])
-        drawn = rows.filter(chance <= wanted).withColumn("nth", F.row_number().over(_by_language()))
+        wanted = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * share + 20) / r["count"])) for r in counts], "lang string, wanted double")
+        drawn = rows.join(F.broadcast(wanted), "lang").filter(chance <= F.col("wanted")).withColumn("nth", F.row_number().over(_by_language()))
         drawn = drawn.filter(F.col("nth") <= share).select("lang", "text")
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(languages), buckets), np.int64)
             for part in slices(batches):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    sums[number[lang]] += np.bincount(grams(text, width, buckets), minlength=buckets)
-            lang, gram = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(sums[lang, gram])], ["lang", "gram", "n"])
+                pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                both, n = np.unique(np.concatenate([number[lang] * buckets + grams(text, width, buckets) for lang, text in pairs]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both // buckets), pa.array(both % buckets), pa.array(n)], ["lang", "gram", "n"])
 
         sums = drawn.mapInArrow(counted, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-        table = np.full((buckets, len(languages)), self.alpha)
-        table[sums["gram"].to_numpy(), sums["lang"].to_numpy()] += sums["n"].to_numpy()
-        return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), width)
+        lang, gram, n = (sums[c].to_numpy() for c in ("lang", "gram", "n"))
+        if len(languages) <= self.dense:
+            table = np.full((buckets, len(languages)), self.alpha)
+            table[gram, lang] += n
+            return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), width)
+        order = np.lexsort((lang, gram))
+        unseen = np.log(self.alpha / (self.alpha * buckets + np.bincount(lang, n, len(languages))))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=buckets))])
+        return TextModel(languages, SeenWeights(unseen, starts, lang[order].astype(np.int32), np.log1p(n[order] / self.alpha)), width)
 
     def text_evidence(self, rows: DataFrame, model: TextModel) -> DataFrame:
         """``rows`` without text, with ``grams`` (how many there are), ``loglik`` and ``soft``, the text's own posterior (all zero without n-grams)."""
@@ -141,13 +173,21 @@ class LanguageId:
         rows = rows.withColumns({"text": whole_text("text")} | {c: F.lower(c) for c in clues})
         scored = store.write(self.text_evidence(rows, model), "scored")
 
+        def summed(df: DataFrame, *by: str) -> DataFrame:
+            """``sums`` of ``soft``: columns of few languages, rows of many, which would be too much code as columns."""
+            if size <= self.dense:
+                sums = df.groupBy(*by).agg(*[F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(size)])
+                return sums.select(*by, F.array(*[f"s{i}" for i in range(size)]).alias("sums"))
+            sums = df.select(*by, F.posexplode("soft").alias("at", "s")).groupBy(*by, "at").agg(F.sum("s").alias("s"))
+            sums = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("sums"))
+            return sums.select(*by, F.col("sums.s").alias("sums"))
+
         def table(by: str) -> DataFrame:
             """Expected rows of each language for each value: additive, so combined within tasks before anything moves."""
-            sums = scored.filter(F.col(by).isNotNull()).groupBy(by).agg(*[F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(size)])
-            return sums.select(F.col(by).alias(f"of_{by}"), F.array(*[f"s{i}" for i in range(size)]).alias(f"{by}_sums"))
+            return summed(scored.filter(F.col(by).isNotNull()), by).select(F.col(by).alias(f"of_{by}"), F.col("sums").alias(f"{by}_sums"))
 
-        total = scored.agg(*[F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(size)]).first()
-        total = np.array([x or 0.0 for x in total])
+        total = summed(scored).first()
+        total = np.array([x or 0.0 for x in (total and total["sums"]) or [0.0] * size])
         hosts = scored.select("host", "domain", "suffix").distinct()
         for by in ("suffix", "domain", "host"):
             hosts = hosts.join(table(by), F.col(by) == F.col(f"of_{by}"), "left").drop(f"of_{by}")
@@ -164,9 +204,14 @@ class LanguageId:
 
         def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = np.array(languages, object)
-            for part in slices(batches, 4096):
+            for part in slices(batches, max(16, min(4096, 16384 // size))):
                 n = part.num_rows
-                matrix = lambda c: np.array([x or [0.0] * size for x in part.column(c).to_pylist()], np.float64).reshape(n, size)  # noqa: B023, E731
+
+                def matrix(c: str) -> np.ndarray:
+                    column, out = part.column(c), np.zeros((n, size))  # noqa: B023
+                    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy().reshape(-1, size)
+                    return out
+
                 soft, text = matrix("soft"), matrix("loglik")
                 prior = np.broadcast_to(everywhere, (n, size))
                 for level in ("suffix_sums", "domain_sums", "host_sums"):
@@ -177,7 +222,7 @@ class LanguageId:
                 share = others.sum(axis=1, keepdims=True) / max(total.sum(), 1)
                 # How often the language's other rows declare this; by the declaration's overall share if there are few.
                 said = (others + strength * share + 1e-9) / (np.maximum(total - soft, 0) + strength)
-                said[[x is None for x in part.column("declared_sums").to_pylist()]] = 1
+                said[part.column("declared_sums").is_null().to_numpy(zero_copy_only=False)] = 1
                 score = text + np.log(prior) + np.log(said)
                 score -= score.max(axis=1, keepdims=True)
                 posterior = np.exp(score)

@@ -476,6 +476,23 @@ def test_language_evidence(spark):
     assert not got[903]["kept"] and not got[904]["kept"] and got[900]["kept"]
 
 
+def test_all_languages_are_fitted(spark):
+    """Of 230 labels in 231 spellings, the rarest are told as well; many languages have the same scores by either kind of weights."""
+    random.seed(18)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03d}": ["".join(random.choice(letters) for _ in range(6)) for _ in range(6)] for i in range(230)}
+    text = lambda x: " ".join(random.choice(words[x]) for _ in range(30))
+    labels = [x for i, x in enumerate(words) for _ in range(1 if i >= 220 else 2)] + ["L000"]
+    labelled = local(spark, [(i, text(x.lower()), x, "s", 1) for i, x in enumerate(labels)], DOCS)
+    many, dense = LanguageId().fit(labelled), LanguageId(dense=1000).fit(labelled)
+    assert many.languages == dense.languages == tuple(words)
+    for some in map(text, ("l000", "l229")):
+        assert np.allclose(many.scores(some, 200.0)[0], dense.scores(some, 200.0)[0], rtol=1e-5)
+    rows = [(i, text(x), x, None, None, None, None) for i, x in enumerate([*words][::10] + ["l228", "l229"])]
+    got = LanguageId().identify(local(spark, rows, "k long, text string, want string, declared string, suffix string, domain string, host string"), many).collect()
+    assert len(got) == len(rows) and all(r["language"] == r["want"] and r["kept"] for r in got)
+
+
 def test_pages(spark):
     html = '<!DOCTYPE html><HTML class="x" LANG=fr-CA><script>var a="</p>";</script><p>Bonjour&nbsp;le <b>monde</b></p><!-- x --></html>'
     rows = page_rows(local(spark, [(1, "https://u@Www.Some.Example.ORG:8080/p?x#y", html), (2, "http://10.0.0.1/x", "plain"), (3, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
