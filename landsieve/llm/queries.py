@@ -18,6 +18,7 @@ from .piece_bpe import PieceTokens
 from .sharding import Sharding, fill_table
 from .simhash import SimHashDedup, hexadecimal
 from .store import Store, whole_text
+from .token_align import TokenAlignment
 from .token_counts import TokenizerVersion, TokenTotals, count_tokens, signed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,10 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, shards[slot + 1] AS shard, 'shard-
   length(coalesce(text, '')) AS n_chars
 FROM placed, claimed
 """
+
+
+@query
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    operator = TokenAlignment(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return operator.score(table(spark, sf_dir, "documents"))
