@@ -13,6 +13,7 @@ from .embedding_dedup import EmbeddingDedup
 from .exact_dedup import ExactDedup
 from .language_id import LanguageId, page_rows
 from .line_dedup import LineDedup
+from .order_minhash import OrderMinHash
 from .packing import Packing
 from .piece_bpe import PieceTokens
 from .sharding import Sharding, fill_table
@@ -143,6 +144,11 @@ FROM placed, claimed
 """
 
 
+@query
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return OrderMinHash().compare_edited(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     operator = TokenAlignment(
