@@ -16,6 +16,7 @@ from .line_dedup import LineDedup
 from .order_minhash import OrderMinHash
 from .packing import Packing
 from .piece_bpe import PieceTokens
+from .prefix_trie import ConversationTrie, forked, numbered
 from .sharding import Sharding, fill_table
 from .simhash import SimHashDedup, hexadecimal
 from .store import Store, whole_text
@@ -144,6 +145,13 @@ FROM placed, claimed
 """
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark)
+    turns, lengths = forked(store, numbered(store, table(spark, sf_dir, "conversations")))
+    return ConversationTrie().build(turns, lengths, store)
+
+
 @query
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return OrderMinHash().compare_edited(table(spark, sf_dir, "documents"))
