@@ -8,6 +8,9 @@ asks one cell per level in use on the right (that of its lower left corner), the
 entered into every cell from which such a left row could reach them. Each pair therefore meets
 exactly once and no duplicates have to be removed.
 
+The side of the finest cells comes from the layer: a quadtree histogram splits its extent until no
+node holds many boxes (``quadtree``). Sides that state reference systems are brought into one first (``alignment``).
+
 The right side is a layer. Its cells are counted first; within bounds they are broadcast and the
 left rows never move, beyond that the cells are joined by a salted shuffle.
 """
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import st_distance, st_intersects
 from ..schema import BOX_COLUMNS
-from ..session import Scratch
+from ..session import Scratch, lasting_scratch
+from .alignment import align
+from .best_first import search
+from .quadtree import cell_of
 from .skew import BROADCAST_BYTES, lookup_join, salted_join
 
-DEFAULT_CELL = 256.0
 LEVELS = 9  # level LEVELS is a single cell covering the whole plane
 SPAN = 4.0  # cells a right box may span; more cells means more layer rows but fewer vain candidates
 LIST_BYTES = 256 * 1024 * 1024  # bound of a layer broadcast as lists per cell
@@ -67,7 +72,7 @@ def _first_cell(low: str, level: str, cell: float) -> str:
     return f"({_cell(low, level, cell)} - 1)"
 
 
-def levels_in_use(df: DataFrame, cell: float = DEFAULT_CELL) -> tuple[int, ...]:
+def levels_in_use(df: DataFrame, cell: float) -> tuple[int, ...]:
     """Grid levels of the left boxes, by one pass over their four coordinates."""
     return tuple(df.where(has_box()).agg(F.sort_array(F.collect_set(F.expr(_level(cell, 1.0)))).alias("levels")).first()["levels"])
 
@@ -80,7 +85,7 @@ def _asked_levels(own: str, asked: tuple[int, ...]) -> str:
 ALL_LEVELS = tuple(range(LEVELS + 1))
 
 
-def layer_cells(layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS) -> DataFrame:
+def layer_cells(layer: DataFrame, cell: float, asked: tuple[int, ...] = ALL_LEVELS) -> DataFrame:
     """Layer rows repeated for each cell in which a left row may look for them."""
 
     def span(low: str, high: str) -> str:
@@ -96,7 +101,7 @@ def layer_cells(layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int,
     )
 
 
-def probes(df: DataFrame, levels: tuple[int, ...] | int, cell: float = DEFAULT_CELL) -> DataFrame:
+def probes(df: DataFrame, levels: tuple[int, ...] | int, cell: float) -> DataFrame:
     """Left rows with the one cell they ask for each right level; no geometry, no cell."""
     wanted = str(levels) if isinstance(levels, int) else f"explode(array({', '.join(map(str, levels))}))"
 
@@ -140,7 +145,7 @@ def measure_layers(
 
 
 def measure_layer(
-    layer: DataFrame, cell: float = DEFAULT_CELL, asked: tuple[int, ...] = ALL_LEVELS, payload: list[str] | None = None
+    layer: DataFrame, cell: float, asked: tuple[int, ...] = ALL_LEVELS, payload: list[str] | None = None
 ) -> LayerSize:
     return measure_layers([layer], cell, asked, payload)[0]
 
@@ -205,7 +210,7 @@ def candidate_pairs(
     right_id: str,
     payload: list[str],
     within: float = 0.0,
-    cell: float = DEFAULT_CELL,
+    cell: float = 1.0,
     max_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, LayerSize]:
     """Pairs whose boxes overlap (or lie within reach): left columns plus ``_r_``-prefixed ones.
@@ -253,11 +258,16 @@ def spatial_join(
     left_id: str,
     right_id: str,
     payload: list[str],
-    cell: float = DEFAULT_CELL,
+    cell: float | None = None,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Inner join on intersection: left columns plus the payload of the layer as ``_r_<name>``."""
+    """Inner join on intersection: left columns plus the payload of the layer as ``_r_<name>``.
+
+    Left rows come back in the reference system that both sides were brought into. Without ``cell`` the side of the finest cells comes from the layer.
+    """
     exact = _check_shapes(left, right)
+    left, right = align(left, right)
+    cell = cell or cell_of(right)
     pairs, size = candidate_pairs(left, right, left_id, right_id, payload, cell=cell, max_bytes=max_bytes)
     if exact:
         settled = _both_rect(left, right)
@@ -273,16 +283,19 @@ def spatial_anti(
     right: DataFrame,
     left_id: str = "ogc_fid",
     right_id: str = "id",
-    cell: float = DEFAULT_CELL,
+    cell: float | None = None,
     max_bytes: int = BROADCAST_BYTES,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """Left rows that intersect no row of the layer; rows without geometry are kept.
 
     With ``scratch`` the ids found by exact tests are written down first; as long as they are few
-    they are then broadcast and no left row has to move.
+    they are then broadcast and no left row has to move. Kept rows come back in the reference system
+    that both sides were brought into.
     """
     exact = _check_shapes(left, right)
+    left, right = align(left, right)
+    cell = cell or cell_of(right)
     size, asked = fit_levels(left, right, cell)
     if not size.levels:
         return left
@@ -302,7 +315,7 @@ def spatial_anti(
         if not exact:
             return kept
     narrow = kept.select(left_id, *BOX_COLUMNS, *[c for c in ("is_rect", "geom_wkb") if c in kept.columns])
-    hits = spatial_join(narrow, right, left_id, right_id, [], cell, max_bytes).select(left_id).distinct()
+    hits = spatial_join(narrow, right.drop("srid"), left_id, right_id, [], cell, max_bytes).select(left_id).distinct()
     if scratch is not None:
         hits = scratch.materialize(hits, "hits")
     return lookup_join(kept, hits, [left_id], "left_anti", [left_id], max_bytes)
@@ -333,7 +346,7 @@ def attach_drive_time(
     parcels = parcels.drop("drive_time")
     if isochrones is None:
         return parcels.withColumn("drive_time", F.lit(float(default)))
-    shape = [c for c in ("is_rect", "geom_wkb") if c in parcels.columns]
+    shape = [c for c in ("is_rect", "geom_wkb", "srid") if c in parcels.columns]
     narrow = parcels.where(F.col(key).isNotNull()).select(id_col, key, *BOX_COLUMNS, *shape)
     met = spatial_join(narrow, isochrones, id_col, iso_id, ["time"], **options)
     best = met.groupBy(key).agg(F.min("_r_time").alias("drive_time"))
@@ -424,15 +437,20 @@ def nearest(
     distance: str = "distance",
     id_col: str = "ogc_fid",
     layer_id: str = "id",
-    cell: float = DEFAULT_CELL,
+    cell: float | None = None,
     max_bytes: int = LIST_BYTES,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Nearest layer row within ``max_dist``: ``(id, layer id, distance, payload...)``, ties to the least id.
 
-    ``payload`` maps layer columns to output names. Only parcels with a match are returned.
+    ``payload`` maps layer columns to output names. Only parcels with a match are returned. A layer of up to ``max_bytes`` is
+    broadcast; a larger one is searched from coarse cells to fine ones by shuffled joins (``best_first``), whose rounds are
+    written to ``scratch``, or to tables that are dropped when the application ends.
     """
     payload = payload or {}
     exact = _check_shapes(parcels, layer)
+    parcels, layer = align(parcels, layer)
+    cell = cell or cell_of(layer)
     shape = [c for c in ("is_rect", "geom_wkb") if c in parcels.columns]
     narrow = parcels.where(has_box()).select(id_col, *BOX_COLUMNS, *shape)
     limit = F.lit(float(max_dist))
@@ -443,13 +461,14 @@ def nearest(
         return searched.where(F.size("_found") > 0).select(id_col, *chosen)
 
     if searched is not None:
-        carried = dict.fromkeys([*payload, *BOX_COLUMNS, *(["is_rect"] if "is_rect" in layer.columns else [])])
-        pairs = searched.withColumn("_e", F.explode("_found")).select(
-            *narrow.columns, F.col("_e.entry.id").alias(f"_r_{layer_id}"), *[F.col(f"_e.entry.{c}").alias(f"_r_{c}") for c in carried]
-        )
+        entries = searched.withColumn("_e", F.explode("_found")).select(*narrow.columns, F.col("_e.entry").alias("_e"))
     else:
-        pairs, _ = candidate_pairs(narrow, layer, id_col, layer_id, list(payload), max_dist, cell, max_bytes)
-        pairs = pairs.where(box_gap() <= limit)
+        found = search(narrow, layer, max_dist, id_col, layer_id, list(payload), cell, scratch or lasting_scratch(parcels.sparkSession))
+        entries = found.select(id_col, *BOX_COLUMNS, F.explode("_found").alias("_e"))
+        if shape:
+            entries = entries.join(narrow.select(id_col, *shape), id_col)
+    carried = dict.fromkeys([*[c for c in payload if c != layer_id], *BOX_COLUMNS, *(["is_rect"] if "is_rect" in layer.columns else [])])
+    pairs = entries.select(*narrow.columns, F.col("_e.id").alias(f"_r_{layer_id}"), *[F.col(f"_e.{c}").alias(f"_r_{c}") for c in carried])
     gap = box_gap()
     if exact:
         pairs = with_shapes(pairs, layer, id_col, layer_id, measure_layer(layer, cell), max_bytes)
@@ -466,7 +485,7 @@ def nearest(
         .groupBy(id_col)
         .agg(F.min("_near").alias("_near"))
     )
-    return best.select(id_col, "_near.*")
+    return best.select(id_col, *[F.col("_near")[c].alias(c) for c in (layer_id, distance, *payload.values())])
 
 
 def nearest_in_rings(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import transform_srid
 from ..operators import filters
 from ..operators.scoring import DEFAULT_PREFERENCES, rank_mcda, rank_mco
-from ..operators.spatial import DEFAULT_CELL, attach_drive_time, filter_airports
+from ..operators.spatial import attach_drive_time, filter_airports
 from ..schema import DEFAULT_EXCLUSIONS
 from ..session import Scratch
 
@@ -34,7 +34,7 @@ class Settings:
     drive_default: float = 9999.0
     min_survivors: int | None = None
     srid: int | None = None
-    cell: float = DEFAULT_CELL
+    cell: float | None = None  # side of the finest grid cells; from the layers where unset
     id_col: str = "ogc_fid"
 
     @property
@@ -45,7 +45,7 @@ class Settings:
 
 
 def aligned(layer: DataFrame | None, settings: Settings) -> DataFrame | None:
-    """The layer in the SRID of the parcels, when one is stated and the layer has exact shapes."""
+    """The layer in the SRID stated for the run; without one the spatial operators align both sides by their rows."""
     if layer is None or settings.srid is None or "geom_wkb" not in layer.columns:
         return layer
     return transform_srid(layer, settings.srid)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
@@ -205,6 +205,82 @@ def q_nearest_substation(spark, sf):
     )
 
 
+@query(nearest_sql("lines", "ogc_fid, id, dist AS et_distance, kv AS et_kv, operator AS et_operator", 100), "parcels", "lines")
+def q_nearest_line_shuffled(spark, sf):
+    """The same search as for a layer that is too large to broadcast: from coarse cells to fine ones, by shuffled joins."""
+    payload = {"kv": "et_kv", "operator": "et_operator"}
+    return spatial.nearest(fx.parcels(spark, sf), fx.lines(spark, sf), 100.0, payload, "et_distance", max_bytes=0)
+
+
+@query(nearest_sql("roads", "ogc_fid, id, dist AS hwy_distance", 60), "parcels", "roads")
+def q_nearest_road_shuffled(spark, sf):
+    return spatial.nearest(fx.parcels(spark, sf), fx.roads(spark, sf), 60.0, {}, "hwy_distance", max_bytes=0)
+
+
+@query(nearest_sql("substations", "ogc_fid, id, dist AS distance, operator AS est_operator", 150), "parcels", "substations")
+def q_nearest_substation_shuffled(spark, sf):
+    return spatial.nearest(fx.parcels(spark, sf), fx.substations(spark, sf), 150.0, {"operator": "est_operator"}, max_bytes=0)
+
+
+# Degrees: the plane of 4000 by 3000 units laid over 4 by 3 degrees of Arizona.
+LONLAT = "-114.0e0 + {0} / 1000.0e0", "32.0e0 + {0} / 1000.0e0"
+
+
+def in_degrees(df: DataFrame) -> DataFrame:
+    x, y = (lambda c: F.lit(-114.0) + F.col(c) / F.lit(1000.0)), (lambda c: F.lit(32.0) + F.col(c) / F.lit(1000.0))
+    return df.withColumns({"minx": x("minx"), "maxx": x("maxx"), "miny": y("miny"), "maxy": y("maxy")})
+
+
+def overlap_in_degrees(a: str, b: str) -> str:
+    lon, lat = (lambda c: LONLAT[0].format(c)), (lambda c: LONLAT[1].format(c))
+    return " AND ".join([
+        f"{lon(f'{a}.x0')} <= {lon(f'{b}.x1')}", f"{lon(f'{b}.x0')} <= {lon(f'{a}.x1')}", f"{lat(f'{a}.y0')} <= {lat(f'{b}.y1')}", f"{lat(f'{b}.y0')} <= {lat(f'{a}.y1')}"])
+
+
+@query(
+    f"""SELECT ogc_fid, parcelnumb FROM parcels p WHERE NOT EXISTS
+    (SELECT 1 FROM airports a WHERE a.feattype = 'Airport ground' AND {overlap_in_degrees('p', 'a')})""",
+    "parcels", "airports",
+)
+def q_airport_anti_lonlat(spark, sf):
+    """Boxes in degrees, which a grid made for metres would put into one cell; the grid comes from the layer."""
+    kept = spatial.filter_airports(in_degrees(fx.parcels(spark, sf)), in_degrees(fx.airports(spark, sf)))
+    return kept.select("ogc_fid", "parcelnumb")
+
+
+@query(
+    f"SELECT ogc_fid, i.id AS iso_id, time FROM parcels p JOIN isochrones i ON {overlap_in_degrees('p', 'i')}",
+    "parcels", "isochrones",
+)
+def q_iso_join_lonlat(spark, sf):
+    pairs = spatial.spatial_join(in_degrees(fx.parcels(spark, sf)), in_degrees(fx.isochrones(spark, sf)), "ogc_fid", "id", ["time"])
+    return pairs.select("ogc_fid", F.col("_r_id").alias("iso_id"), F.col("_r_time").alias("time"))
+
+
+def wkt_ring(corners: list[tuple]) -> Column:
+    """EWKT of a polygon in 4326 by its corners, columns of longitude and latitude; the first closes it."""
+    listed = F.concat_ws(",", *[F.concat(x.cast("string"), F.lit(" "), y.cast("string")) for x, y in [*corners, corners[0]]])
+    return F.concat(F.lit("SRID=4326;POLYGON(("), listed, F.lit("))"))
+
+
+MIXED = """, spots AS (SELECT ogc_fid, -114.0e0 + (x0 + 0.37e0) / 1000.0e0 AS lon, 32.0e0 + (y0 + 0.41e0) / 1000.0e0 AS lat FROM parcels),
+    areas AS (SELECT id, time, -114.0e0 + x0 / 1000.0e0 AS a, 32.0e0 + y0 / 1000.0e0 AS b, -114.0e0 + x1 / 1000.0e0 AS c, 32.0e0 + y1 / 1000.0e0 AS d FROM isochrones)
+    SELECT ogc_fid, id AS iso_id, time FROM spots JOIN areas ON lon BETWEEN a AND c AND lat BETWEEN b AND d"""
+
+
+@query(MIXED, "parcels", "isochrones")
+def q_iso_join_mixed(spark, sf):
+    """Parcel corners in 4326 and isochrones in 5070: the join sees the difference and brings both into one system."""
+    lon = lambda c, by=0.0: F.lit(-114.0) + (F.col(c) + F.lit(by)) / F.lit(1000.0)
+    lat = lambda c, by=0.0: F.lit(32.0) + (F.col(c) + F.lit(by)) / F.lit(1000.0)
+    spot = F.concat(F.lit("SRID=4326;POINT("), lon("minx", 0.37).cast("string"), F.lit(" "), lat("miny", 0.41).cast("string"), F.lit(")"))
+    spots = with_envelope(fx.parcels(spark, sf).select("ogc_fid", parse_wkt(spot).alias("g")).select("ogc_fid", "g.geom_wkb", "g.srid"))
+    ring = wkt_ring([(lon("minx"), lat("miny")), (lon("maxx"), lat("miny")), (lon("maxx"), lat("maxy")), (lon("minx"), lat("maxy"))])
+    areas = transform_srid(fx.isochrones(spark, sf).select("id", "time", parse_wkt(ring).alias("g")).select("id", "time", "g.geom_wkb", "g.srid"), 5070)
+    pairs = spatial.spatial_join(spots, areas, "ogc_fid", "id", ["time"])
+    return pairs.select("ogc_fid", F.col("_r_id").alias("iso_id"), F.col("_r_time").alias("time"))
+
+
 @query(
     """SELECT min(x0) AS minx, min(y0) AS miny, max(x1) AS maxx, max(y1) AS maxy,
       (min(x0) + max(x1)) / 2 AS center_x, (min(y0) + max(y1)) / 2 AS center_y FROM parcels""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -114,6 +115,24 @@ class Scratch:
         self.close()
 
 
+_LASTING: list[Scratch] = []
+
+
+def lasting_scratch(spark: SparkSession) -> Scratch:
+    """A scratch folder for results that are read after the call that made them; it is dropped when the application ends."""
+    _LASTING.append(Scratch(spark))
+    return _LASTING[-1]
+
+
+@atexit.register
+def _close_lasting() -> None:
+    for scratch in _LASTING:
+        try:
+            scratch.close()
+        except Exception:  # noqa: BLE001  the JVM has gone already
+            return
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a file or folder through the Hadoop file system that owns it."""
     jvm = spark._jvm
