@@ -368,6 +368,22 @@ def parse_geojson(text: pd.Series) -> pd.Series:
     return pd.Series(_per_row(lambda v: from_geojson(json.loads(v)), text), dtype="object")
 
 
+CHECKED = T.StructType([T.StructField("geom_wkb", T.BinaryType()), T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(CHECKED)
+def checked_geojson(text: pd.Series) -> pd.DataFrame:
+    """GeoJSON geometry to WKB, or why it is none."""
+
+    def one(value):
+        try:
+            return (None if value is None else from_geojson(json.loads(value))), None
+        except Exception as problem:  # noqa: BLE001  whatever is in the text
+            return None, f"geometry: {type(problem).__name__}: {problem}"
+
+    return pd.DataFrame([one(v) for v in text], columns=["geom_wkb", "error"], dtype="object")
+
+
 @F.pandas_udf(BOX)
 def envelope(wkb: pd.Series) -> pd.DataFrame:
     """Bounding box, and whether the geometry is exactly that box."""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COLUMN_ALIASES, DOUBLE_COLUMNS, GEOMETRY_COLUMNS, PARCEL_COLUMNS, column_type
-from .skew import lookup_join
 
 
 def quoted(name: str) -> Column:
@@ -66,7 +65,7 @@ def normalize_geometry(df: DataFrame, file_col: str | None = None) -> DataFrame:
     filled = df.where(F.col("geom_wkb").isNotNull())
     if file_col is None:
         return filled
-    return lookup_join(df, filled.select(file_col).distinct(), [file_col], "left_semi", df.columns)
+    return df.join(filled.select(file_col).distinct(), file_col, "left_semi")  # few files: broadcast, or split by adaptive joins
 
 
 def stringify_dates(df: DataFrame) -> DataFrame:

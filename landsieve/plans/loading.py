@@ -11,40 +11,52 @@ from pyspark.sql import functions as F
 from ..functions.geometry import with_envelope
 from ..operators.catalog import county_counts
 from ..operators.skew import lookup_join
-from ..operators.standardize import apply_aliases, cast_parcels, schema_report, standardize
+from ..operators.standardize import apply_aliases, cast_parcels, normalize_geometry, schema_report, standardize
 from ..schema import COLUMN_ALIASES, PARCEL_COLUMNS
 from ..session import Scratch
 from ..sources.discover import discover_layers, discover_named_layers, list_files, path_exists
-from ..sources.readers import SOURCE, WKT_COLUMNS, file_columns, file_headers, read_layer, read_layers
+from ..sources.readers import PROBLEM, SOURCE, WKT_COLUMNS, file_columns, file_headers, read_layer, read_layers
 from ..sources.sinks import write_parcels, write_schema_report
 
 log = logging.getLogger(__name__)
 
+# Attributes by which parcels are screened besides the standard ones; the distances are numbers.
+ENRICHMENT = ("et_distance", "et_kv", "et_operator", "est_operator", "hwy_distance")
+MEASURES = ("et_distance", "hwy_distance")
+
 
 def load_parcels(
     spark: SparkSession, root: str, scratch: Scratch, state: str | None = None, require_geometry: bool = True,
-    on_error: str = "skip",
+    keep: tuple[str, ...] = ENRICHMENT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Standardised, typed parcels of every file below ``root``, and the files left out with the reason.
+    """Standardised, typed parcels of every file below ``root``, and the files and records left out with the reason.
 
-    ``require_geometry`` leaves out CSV files without shapes and files whose shapes are all empty.
+    ``require_geometry`` leaves out CSV files without shapes and files whose shapes are all empty. ``keep``: columns outside the standard
+    ones that are kept where files have them, such as those by which parcels are screened. Records are written down once,
+    so that the files are read once for both results.
     """
     files = scratch.materialize(discover_layers(spark, root, state), "files")
     headers = scratch.materialize(file_headers(spark, files), "headers")
-    wanted = [*PARCEL_COLUMNS, *[c for c in COLUMN_ALIASES if COLUMN_ALIASES[c] in PARCEL_COLUMNS]]
-    usable = headers.where(F.col("has_geometry") | (F.col("ext") == "csv")) if require_geometry else headers
-    rows = read_layers(spark, usable, wanted, require_geometry, on_error)
+    wanted = [*PARCEL_COLUMNS, *[c for c in COLUMN_ALIASES if COLUMN_ALIASES[c] in PARCEL_COLUMNS], *[c for c in keep if c not in PARCEL_COLUMNS]]
+    texts = F.arrays_overlap("columns", F.array(*map(F.lit, WKT_COLUMNS)))
+    bare = (F.col("ext") == "csv") & ~F.coalesce(texts, F.lit(False)) if require_geometry else F.lit(False)
+    records = scratch.materialize(read_layers(spark, headers.where(~bare), wanted, require_geometry, "report"), "records")
+    rows = records.where(F.col(PROBLEM).isNull()).drop(PROBLEM)
+    if require_geometry:  # files without a single shape are left out
+        rows = normalize_geometry(rows, SOURCE)
     # One row per file; its folder names are the partition, next to the county attribute.
     places = files.select(_plain("path").alias("_file"), F.col("state").alias("_state"), F.col("county").alias("_folder"))
     placed = lookup_join(rows.withColumn("_file", _plain(SOURCE)), places, ["_file"], "inner", wanted[:4])
-    typed = cast_parcels(standardize(apply_aliases(placed), keep=["_state", "_folder"]))
+    kept = [c for c in keep if c not in PARCEL_COLUMNS]
+    typed = cast_parcels(standardize(apply_aliases(placed), keep=["_state", "_folder", *kept]))
+    typed = typed.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in kept if c in MEASURES})
     parcels = with_envelope(typed)
     problems = headers.where(F.col("error").isNotNull()).select("path", "error")
+    problems = problems.unionByName(records.where(F.col(PROBLEM).isNotNull()).select(F.col(SOURCE).alias("path"), F.col(PROBLEM).alias("error")))
     if require_geometry:
-        texts = F.arrays_overlap("columns", F.array(*map(F.lit, WKT_COLUMNS)))
-        shapeless = F.when(F.col("ext") == "csv", ~texts).otherwise(~F.col("has_geometry"))
-        bare = headers.where(F.col("error").isNull() & shapeless)
-        problems = problems.unionByName(bare.select("path", F.lit("no geometry").alias("error")))
+        shaped = records.where(F.col("geom_wkb").isNotNull()).select(_plain(SOURCE).alias("_file")).distinct()  # a row for each file at most
+        readable = headers.where(F.col("error").isNull()).select("path", _plain("path").alias("_file"))
+        problems = problems.unionByName(readable.join(shaped, "_file", "left_anti").select("path", F.lit("no geometry").alias("error")))
     return parcels, problems
 
 

@@ -1,13 +1,15 @@
 """Reading parcel and auxiliary layers of all supported file types.
 
 Headers are read by a small Spark job. Shapefiles and GeoPackages are then cut into ranges of
-records and the ranges are spread over the cluster, so one large file is read by many tasks;
-CSV and line-oriented GeoJSON are split by Spark itself.
+records and the ranges are spread over the cluster, so one large file is read by many tasks; so is
+GeoJSON, by byte ranges (``geojson``).
+
+Records that cannot be read fail the read, are left out, or are reported: ``on_error`` is "raise",
+"skip" or "report". With "report" there is a column ``read_error``, and a row with nothing but its file and the error for each such record.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,17 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import DEFAULT_SRID, parse_geojson, parse_wkt, with_envelope
+from ..functions.geometry import DEFAULT_SRID, checked_geojson, parse_wkt, with_envelope
 from ..operators.standardize import quoted
 from . import vector_files as vf
+from .geojson import geojson_records
 
 SLICE_RECORDS = 20_000
 MAX_SLICES = 10_000
 # Name of the file a record came from ("path" is a parcel attribute).
 SOURCE = "source_file"
+PROBLEM = "read_error"
 # CSV columns taken for well-known text, first match wins.
 WKT_COLUMNS = ["wkt", "geom_wkt", "geom", "geometry", "the_geom"]
-HEADER_SCHEMA = "path string, ext string, columns array<string>, first long, last long, srid int, has_geometry boolean, layout string, error string"
+HEADER_SCHEMA = "path string, ext string, columns array<string>, first long, last long, srid int, has_geometry boolean, error string"
 
 
 def _paths_frame(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
@@ -35,74 +39,75 @@ def _paths_frame(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame
     return spark.createDataFrame([(p, p.rsplit(".", 1)[-1].lower()) for p in paths], "path string, ext string")
 
 
-def _geojson_layout(path: str) -> str:
-    """``lines`` when features sit on lines of their own, else ``collection``."""
-    text = vf.read_range(path, 0, 1 << 18).decode("utf-8", "replace")
-    for line in text.splitlines()[:200]:
-        candidate = line.strip().removesuffix(",")
-        if candidate.startswith("{") and '"Feature"' in candidate:
-            try:
-                return "lines" if json.loads(candidate).get("type") == "Feature" else "collection"
-            except ValueError:
-                continue
-    return "collection"
-
-
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, ext in zip(batch["path"], batch["ext"]):
             try:
                 if ext == "geojson":
-                    rows.append((path, ext, None, None, None, None, vf.geojson_has_geometry(path), _geojson_layout(path), None))
+                    rows.append((path, ext, None, None, None, None, vf.geojson_has_geometry(path), None))
                 else:
                     h = vf.HEADERS[ext](path)
-                    rows.append((path, ext, h.columns, h.first, h.last, h.srid, h.has_geometry, None, None))
+                    rows.append((path, ext, h.columns, h.first, h.last, h.srid, h.has_geometry, None))
             except Exception as problem:  # a bad file is reported, the others go on
-                rows.append((path, ext, None, None, None, None, None, None, f"{type(problem).__name__}: {problem}"))
+                rows.append((path, ext, None, None, None, None, None, f"{type(problem).__name__}: {problem}"))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER_SCHEMA.split(", ")])
         yield out.astype({"first": "Int64", "last": "Int64", "srid": "Int32", "has_geometry": "object"})
 
 
 def file_headers(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
-    """Per file: columns, record range, SRID, layout, and the error if it cannot be opened."""
+    """Per file: columns, record range, SRID, and the error if it cannot be opened."""
     files = _paths_frame(spark, paths)
     return files.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(_read_headers, HEADER_SCHEMA)
 
 
-def _geojson_features(spark: SparkSession, paths: list[str], layout: str, properties: T.DataType) -> DataFrame:
+def by_error(rows: DataFrame, on_error: str) -> DataFrame:
+    """Rows with a ``read_error`` column, treated as ``on_error`` says."""
+    if on_error == "report":
+        return rows
+    if on_error == "skip":
+        return rows.where(F.col(PROBLEM).isNull()).drop(PROBLEM)
+    checked = F.when(F.col(PROBLEM).isNotNull(), F.raise_error(F.concat(F.col(SOURCE), F.lit(": "), F.col(PROBLEM))).cast("string"))
+    return rows.withColumn(PROBLEM, checked).where(F.col(PROBLEM).isNull()).drop(PROBLEM)
+
+
+def _geojson_features(spark: SparkSession, paths: list[str], properties: T.DataType) -> DataFrame:
+    """source_file, geometry, properties, read_error of every record that is a feature or should be one."""
     feature = T.StructType([
         T.StructField("type", T.StringType()),
         T.StructField("geometry", T.StringType()),
         T.StructField("properties", properties),
+        T.StructField("_corrupt", T.StringType()),
     ])
-    if layout == "lines":
-        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias(SOURCE), F.trim("value").alias("value"))
-        text = F.regexp_replace("value", ",$", "")
-        parsed = lines.where(F.col("value").startswith("{")).select(SOURCE, F.from_json(text, feature).alias("f"))
-        return parsed.where(F.col("f.type") == "Feature").select(SOURCE, "f.geometry", "f.properties")
-    whole = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))]))
-    rows = whole.option("multiLine", True).json(paths).select(F.col("_metadata.file_path").alias(SOURCE), F.explode("features").alias("f"))
-    return rows.select(SOURCE, "f.geometry", "f.properties")
+    parsed = geojson_records(spark, paths).withColumn("f", F.from_json("text", feature, {"columnNameOfCorruptRecord": "_corrupt"}))
+    at = F.concat(F.lit(" at byte "), F.col("place").cast("string"))
+    is_feature = F.coalesce(F.col("f.type") == "Feature", F.lit(False)) & F.col("f._corrupt").isNull()
+    error = F.when(F.col("error").isNotNull(), F.concat("error", at)).when(F.col("f._corrupt").isNotNull(), F.concat(F.lit("malformed record"), at)).when(~is_feature, F.concat(F.lit("not a feature"), at))
+    # Other members of the root, such as its reference system, hold objects as well; they carry no feature's parts.
+    other = ~is_feature & F.col("error").isNull() & F.col("f._corrupt").isNull() & F.col("f.geometry").isNull() & F.col("f.properties").isNull()
+    rows = parsed.where(~other).withColumn(PROBLEM, error)
+    good = F.col(PROBLEM).isNull()
+    return rows.select(SOURCE, F.when(good, F.col("f.geometry")).alias("geometry"), F.when(good, F.col("f.properties")).alias("properties"), PROBLEM)
 
 
-def read_geojson(spark: SparkSession, paths: list[str], columns: list[str], layout: str = "lines") -> DataFrame:
-    """GeoJSON features: ``source_file``, the named properties as text, ``geom_wkb`` and ``srid``.
+def read_geojson(spark: SparkSession, paths: list[str], columns: list[str], on_error: str = "raise") -> DataFrame:
+    """GeoJSON features of any layout: ``source_file``, the named properties as text, ``geom_wkb`` and ``srid``.
 
-    With ``lines`` every feature stands on a line of its own, inside a collection or not, and the
-    files are split freely; ``collection`` takes any formatting, one file per task.
+    A record that does not parse, and a geometry that is none, is a record that cannot be read.
     """
     wanted = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = _geojson_features(spark, paths, layout, wanted)
-    return rows.select(
-        SOURCE, *[F.col("properties").getField(c).alias(c) for c in columns],
-        parse_geojson("geometry").alias("geom_wkb"), F.lit(DEFAULT_SRID).alias("srid"),
+    rows = _geojson_features(spark, paths, wanted).withColumn("shape", checked_geojson("geometry"))
+    failed = F.coalesce(PROBLEM, "shape.error")
+    rows = rows.select(
+        SOURCE, *[F.when(failed.isNull(), F.col("properties").getField(c)).alias(c) for c in columns],
+        F.when(failed.isNull(), F.col("shape.geom_wkb")).alias("geom_wkb"), F.lit(DEFAULT_SRID).alias("srid"), failed.alias(PROBLEM),
     )
+    return by_error(rows, on_error)
 
 
-def geojson_columns(spark: SparkSession, paths: list[str], layout: str = "lines") -> DataFrame:
+def geojson_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Property names per file in order of appearance, as ``(path, columns)``."""
-    rows = _geojson_features(spark, paths, layout, T.MapType(T.StringType(), T.StringType()))
+    rows = _geojson_features(spark, paths, T.MapType(T.StringType(), T.StringType())).where(F.col(PROBLEM).isNull())
     keys = rows.select(SOURCE, F.posexplode(F.map_keys("properties")).alias("pos", "key"))
     return (
         keys.groupBy(SOURCE, "key")
@@ -116,13 +121,12 @@ def geojson_columns(spark: SparkSession, paths: list[str], layout: str = "lines"
 def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str], on_error: str = "raise") -> DataFrame:
     """Shapefile and GeoPackage records: ``source_file``, the named attributes as text, ``geom_wkb``, ``srid``.
 
-    ``headers`` comes from ``file_headers``. ``on_error="skip"`` leaves out records that cannot be
-    decoded, and files whose header cannot, instead of failing.
+    ``headers`` comes from ``file_headers``. A damaged record costs itself alone.
     """
     schema = T.StructType(
         [T.StructField(SOURCE, T.StringType())]
         + [T.StructField(c, T.StringType()) for c in columns]
-        + [T.StructField("geom_wkb", T.BinaryType()), T.StructField("srid", T.IntegerType())]
+        + [T.StructField("geom_wkb", T.BinaryType()), T.StructField("srid", T.IntegerType()), T.StructField(PROBLEM, T.StringType())]
     )
     # Sparse row ids make wider ranges, never more than MAX_SLICES of them.
     width = F.ceil((F.col("last") - F.col("first") + 1) / F.lit(MAX_SLICES))
@@ -139,32 +143,28 @@ def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str
 
     def records(path: str, ext: str, header, start: int, stop: int) -> list[tuple]:
         rows = vf.ROWS[ext](path, header, start, stop)
-        return [(path, *[properties.get(c) for c in columns], geometry, header.srid) for properties, geometry in rows]
+        return [(path, *[properties.get(c) for c in columns], geometry, header.srid, None) for properties, geometry in rows]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, ext, start, stop in batch.itertuples(index=False):
+                def failed(problem: Exception, at: str, path: str = path) -> tuple:
+                    return path, *[None] * (len(columns) + 2), f"{type(problem).__name__}: {problem}{at}"
+
                 try:
                     header = vf.HEADERS[ext](path)
-                except Exception:
-                    if on_error != "skip":
-                        raise
-                    continue
-                try:
                     rows = records(path, ext, header, int(start), int(stop))
-                except Exception:
-                    if on_error != "skip":
-                        raise
-                    # A damaged record costs itself alone: the slice is read again, record by record.
+                except Exception:  # the slice is read again, record by record
                     rows = []
                     for at in range(int(start), int(stop) + 1):
                         try:
+                            header = vf.HEADERS[ext](path) if at == int(start) else header
                             rows += records(path, ext, header, at, at)
-                        except Exception:  # noqa: BLE001  whatever the record makes the decoder do
-                            continue
+                        except Exception as problem:  # noqa: BLE001  whatever the record makes the decoder do
+                            rows.append(failed(problem, f" at record {at}"))
                 yield pd.DataFrame(rows, columns=names).astype({"srid": "Int32"})
 
-    return slices.mapInPandas(read, schema)
+    return by_error(slices.mapInPandas(read, schema), on_error)
 
 
 def read_csv_layer(
@@ -210,19 +210,17 @@ def read_layers(
     """
     usable = headers.where(F.col("error").isNull())
     # One row per file, not per record.
-    texts = usable.where(F.col("ext").isin("csv", "geojson")).select("path", "ext", "columns", "layout").collect()
+    texts = usable.where(F.col("ext").isin("csv", "geojson")).select("path", "ext", "columns").collect()
     frames = [read_binary_layer(spark, usable, columns, on_error)]
     by_header: dict[tuple, list[str]] = {}
-    by_layout: dict[str, list[str]] = {}
     for row in texts:
         if row["ext"] == "csv":
             by_header.setdefault(tuple(row["columns"]), []).append(row["path"])
-        else:
-            by_layout.setdefault(row["layout"], []).append(row["path"])
     for header, paths in by_header.items():
-        frames.append(read_csv_layer(spark, paths, list(header), columns, require_geometry))
-    for layout, paths in by_layout.items():
-        frames.append(read_geojson(spark, paths, columns, layout))
+        rows = read_csv_layer(spark, paths, list(header), columns, require_geometry)
+        frames.append(rows.withColumn(PROBLEM, F.lit(None).cast("string")) if on_error == "report" else rows)
+    if shaped := [row["path"] for row in texts if row["ext"] == "geojson"]:
+        frames.append(read_geojson(spark, shaped, columns, on_error))
     return union_rows(frames)
 
 
@@ -231,10 +229,9 @@ def file_columns(spark: SparkSession, headers: DataFrame) -> DataFrame:
     spatial = F.col("ext") != "csv"
     listed = F.when(spatial, F.array_append("columns", F.lit("geometry"))).otherwise(F.col("columns"))
     plain = headers.where((F.col("ext") != "geojson") & F.col("error").isNull()).select("path", listed.alias("columns"))
-    texts = headers.where((F.col("ext") == "geojson") & F.col("error").isNull()).select("path", "layout").collect()
-    for layout in sorted({row["layout"] for row in texts}):
-        paths = [row["path"] for row in texts if row["layout"] == layout]
-        found = geojson_columns(spark, paths, layout)
+    paths = [r["path"] for r in headers.where((F.col("ext") == "geojson") & F.col("error").isNull()).select("path").collect()]  # a row for each file
+    if paths:
+        found = geojson_columns(spark, paths)
         plain = plain.unionByName(found.withColumn("columns", F.array_append("columns", F.lit("geometry"))))
     return plain
 
@@ -247,7 +244,7 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: {head['error']}")
     columns = head["columns"]
     if head["ext"] == "geojson":
-        found = geojson_columns(spark, [path], head["layout"]).first()
+        found = geojson_columns(spark, [path]).first()
         columns = found["columns"] if found else []
     rows = read_layers(spark, headers, columns).drop(SOURCE)
     if head["ext"] == "csv" and not any(c in columns for c in WKT_COLUMNS):

@@ -13,7 +13,7 @@ from landsieve.functions.geometry import as_wkt, parse_wkt, with_envelope
 from landsieve.operators import catalog, lookups as lk, standardize as std
 from landsieve.plans.loading import split_statements
 from landsieve.schema import PARCEL_COLUMNS
-from landsieve.sources import readers, sheets, sinks
+from landsieve.sources import geojson, readers, sheets, sinks
 from landsieve.sources.discover import discover_layers
 
 BOX = "POLYGON((0 0,0 2,2 2,2 0,0 0))"
@@ -282,3 +282,71 @@ def test_map_data(spark, ranked):
     assert [(r["name"], r["address"]) for r in data.points["depots"].collect()] == [("Depot", "N/A")]
     nowhere = map_data(ranked.limit(0), "CO")
     assert nowhere.center == (39.0, -105.5) and nowhere.bounds is None
+
+
+# --- GeoJSON in awkward layouts ------------------------------------------------------------------
+
+def features(n):
+    """Features with brackets, quotes, backslashes and line breaks in their texts."""
+    texts = ['a "quoted" {', "back\\", "\\\\", "line\nbreak }]", "é{[", "", "}\\\"{", 'x": {"type": "Feature"}']
+    return [{"type": "Feature", "properties": {"n": i, "t": texts[i % len(texts)]}, "geometry": {"type": "Point", "coordinates": [i, 2]}} for i in range(n)]
+
+
+LAYOUTS = {
+    "lines": lambda fs: '{"type": "FeatureCollection", "features": [\n' + ",\n".join(map(json.dumps, fs)) + "\n]}",
+    "one line": lambda fs: json.dumps({"features": fs, "type": "FeatureCollection"}),
+    "indented": lambda fs: json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x", "of": {"a": [{"b": 1}]}}}, "bbox": [0, 0, 1, 1], "features": fs}, indent=1),
+    "first on the line of the head": lambda fs: '{"type": "FeatureCollection", "features": [' + ",\n".join(map(json.dumps, fs)) + "]}",
+    "two on a line": lambda fs: '{"type":"FeatureCollection","features":[\n' + ",\n".join(", ".join(map(json.dumps, fs[i : i + 2])) for i in range(0, len(fs), 2)) + "\n]}\n",
+    "sequence": lambda fs: "\n".join(map(json.dumps, fs)) + "\n",
+    "sequence without line breaks": lambda fs: "".join("\x1e" + json.dumps(f, ensure_ascii=False) for f in fs),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("range_bytes", [7, 64, 1 << 20])
+def test_no_feature_is_lost(spark, tmp_path, layout, range_bytes):
+    fs = features(33)
+    (tmp_path / "a.geojson").write_text(LAYOUTS[layout](fs))
+    rows = geojson.geojson_records(spark, [str(tmp_path / "a.geojson")], range_bytes).where("text IS NOT NULL").collect()
+    read = sorted((x for x in (json.loads(r["text"]) for r in rows) if x.get("type") == "Feature"), key=lambda x: x["properties"]["n"])
+    assert read == fs and all(r["error"] is None for r in rows)
+    if range_bytes > 1000:
+        got = readers.read_geojson(spark, [str(tmp_path / "a.geojson")], ["n", "t"], "report").collect()
+        assert sorted((int(r["n"]), r["t"]) for r in got) == [(f["properties"]["n"], f["properties"]["t"]) for f in fs]
+        assert all(r["read_error"] is None and r["geom_wkb"] for r in got)
+
+
+def test_a_single_feature_and_an_empty_file(spark, tmp_path):
+    (tmp_path / "one.geojson").write_text(json.dumps(features(1)[0], indent=3))
+    (tmp_path / "none.geojson").write_text("")
+    (tmp_path / "empty.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    read = lambda name: [r["n"] for r in readers.read_geojson(spark, [str(tmp_path / f"{name}.geojson")], ["n"], "skip").collect()]
+    assert (read("one"), read("none"), read("empty")) == (["0"], [], [])
+
+
+def test_lost_records_are_reported(spark, tmp_path, scratch):
+    good = features(4)
+    bad = [{**good[0], "geometry": {"type": "Point"}}, {"type": "Thing", "geometry": None, "properties": {"n": 9}}, {**good[1], "geometry": {"type": "Nothing", "coordinates": []}}]
+    (tmp_path / "az" / "pima").mkdir(parents=True)
+    (tmp_path / "az" / "pima" / "a.geojson").write_text(LAYOUTS["one line"](good + bad))
+    text = LAYOUTS["lines"](good).replace('"properties": {"n": 2', '"properties": "n": 2')
+    (tmp_path / "az" / "pima" / "torn.geojson").write_text(text)
+    cut = LAYOUTS["lines"](good)
+    (tmp_path / "az" / "pima" / "cut.geojson").write_text(cut[: cut.index('"n": 3')])
+    errors = {n: [r["read_error"] for r in readers.read_geojson(spark, [str(tmp_path / "az" / "pima" / f"{n}.geojson")], ["n"], "report").collect()] for n in ("a", "torn", "cut")}
+    assert sorted(e.split(":")[0].split(" at ")[0] for e in errors["a"] if e) == ["geometry", "geometry", "not a feature"] and errors["a"].count(None) == 4
+    assert errors["torn"].count(None) == 3 and sum("malformed" in (e or "") for e in errors["torn"]) == 1
+    assert errors["cut"].count(None) == 3 and len(errors["cut"]) == 5
+    with pytest.raises(Exception, match="geometry"):
+        readers.read_geojson(spark, [str(tmp_path / "az" / "pima" / "a.geojson")], ["n"]).collect()
+    parcels, problems = load_parcels(spark, str(tmp_path), scratch, keep=("n",))
+    assert parcels.count() == 10 and {r["n"] for r in parcels.select("n").collect()} == {"0", "1", "2", "3"}
+    assert sorted(r["path"].split("/")[-1] for r in problems.collect()) == ["a.geojson"] * 3 + ["cut.geojson"] * 2 + ["torn.geojson"] * 2
+
+
+def test_columns_for_screening_survive_the_load(spark, tmp_path, scratch):
+    (tmp_path / "az" / "pima").mkdir(parents=True)
+    write_geojson(tmp_path / "az/pima/a.geojson", [({"parcelnumb": "A", "et_distance": 12.5, "et_kv": "69", "hwy_distance": "x", "other": 1}, BOX)])
+    row = load_parcels(spark, str(tmp_path), scratch)[0].first().asDict()
+    assert (row["et_distance"], row["et_kv"], row["hwy_distance"], row["est_operator"]) == (12.5, "69", None, None) and "other" not in row
