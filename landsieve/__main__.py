@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import catalog
 from .operators.lookups import build_lookups, validate_ranking
+from .plans.enrichment import Enrichment
 from .plans.loading import load_all, schema_check
 from .plans.mapdata import map_data
 from .plans.site_selection import Settings, site_selection
@@ -26,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--tables", required=True)
     load.add_argument("--state")
     load.add_argument("--scripts", help="folder of SQL scripts to run afterwards")
+    load.add_argument("--lines", default=Enrichment.lines, help="layer of transmission lines, by file stem")
+    load.add_argument("--roads", default=Enrichment.roads)
+    load.add_argument("--substations", default=Enrichment.substations)
+    load.add_argument("--max-distance", type=float, default=Enrichment.max_dist, help="reach of these searches in metres")
 
     schema = commands.add_parser("schema", help="report how files match the standard schema")
     schema.add_argument("--raw", required=True)
@@ -124,7 +129,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         args.tables = args.tables.rstrip("/")
     if args.command == "load":
         with Scratch(spark) as scratch:
-            print_rows(load_all(spark, args.raw, args.tables, scratch, args.state, args.scripts))
+            enrichment = Enrichment(args.lines, args.roads, args.substations, args.max_distance)
+            print_rows(load_all(spark, args.raw, args.tables, scratch, args.state, args.scripts, enrichment=enrichment))
         return None
     if args.command == "schema":
         print_rows(schema_check(spark, args.raw, args.report)[1].drop("state_columns"))

@@ -347,6 +347,8 @@ def attach_drive_time(
     if isochrones is None:
         return parcels.withColumn("drive_time", F.lit(float(default)))
     shape = [c for c in ("is_rect", "geom_wkb", "srid") if c in parcels.columns]
+    # Layers read from files have texts in all columns; a time that is no number is none.
+    isochrones = isochrones.withColumn("time", F.col("time").try_cast("double"))
     narrow = parcels.where(F.col(key).isNotNull()).select(id_col, key, *BOX_COLUMNS, *shape)
     met = spatial_join(narrow, isochrones, id_col, iso_id, ["time"], **options)
     best = met.groupBy(key).agg(F.min("_r_time").alias("drive_time"))

@@ -17,6 +17,7 @@ from ..session import Scratch
 from ..sources.discover import discover_layers, discover_named_layers, list_files, path_exists
 from ..sources.readers import PROBLEM, SOURCE, WKT_COLUMNS, file_columns, file_headers, read_layer, read_layers
 from ..sources.sinks import write_parcels, write_schema_report
+from .enrichment import Enrichment, enrich
 
 log = logging.getLogger(__name__)
 
@@ -67,14 +68,26 @@ def _plain(path: str):
 
 def load_all(
     spark: SparkSession, root: str, out: str, scratch: Scratch, state: str | None = None, scripts: str | None = None,
-    layer_folders: tuple[str, ...] = ("other_gis", "rextag"),
+    layer_folders: tuple[str, ...] = ("other_gis", "rextag"), enrichment: Enrichment | None = Enrichment(),
 ) -> DataFrame:
-    """Load parcels and auxiliary layers below ``root`` into tables below ``out``; returns rows per county.
+    """Load auxiliary layers and parcels below ``root`` into tables below ``out``; returns rows per county.
 
-    Parcels go to ``out/parcels``, layers to ``out/<folder>/<layer>``, files left out to
-    ``out/problems``. SQL scripts, if any, then run over views of the written tables.
+    Layers go to ``out/<folder>/<layer>``. Parcels are enriched by the layers that ``enrichment`` names and go to
+    ``out/parcels``; what was left out goes to ``out/problems``. SQL scripts, if any, then run over views of the written tables.
     """
+    layers: dict[str, DataFrame] = {}
+    for folder in layer_folders:
+        source = f"{root.rstrip('/')}/{folder}"
+        if not path_exists(spark, source):
+            log.warning("no folder %s", source)
+            continue
+        for name in load_layers(spark, source, f"{out.rstrip('/')}/{folder}")[0]:
+            layers[name] = spark.read.parquet(f"{out.rstrip('/')}/{folder}/{name}")
+            layers[name].createOrReplaceTempView(name)
     parcels, problems = load_parcels(spark, root, scratch, state)
+    if enrichment is not None:
+        shaped = {name: layer for name, layer in layers.items() if "geom_wkb" in layer.columns}
+        parcels = enrich(parcels, shaped, enrichment, scratch)
     target = f"{out.rstrip('/')}/parcels"
     # The county attribute stays available as ``county_name``; the folder is the partition.
     partition = {"county": "county_name", "_state": "state", "_folder": "county"}
@@ -83,13 +96,6 @@ def load_all(
     write_parcels(parcels, target)
     problems.write.mode("overwrite").json(f"{out.rstrip('/')}/problems")
     spark.read.parquet(target).createOrReplaceTempView("parcels")
-    for folder in layer_folders:
-        source = f"{root.rstrip('/')}/{folder}"
-        if not path_exists(spark, source):
-            log.warning("no folder %s", source)
-            continue
-        for name in load_layers(spark, source, f"{out.rstrip('/')}/{folder}")[0]:
-            spark.read.parquet(f"{out.rstrip('/')}/{folder}/{name}").createOrReplaceTempView(name)
     if scripts is not None:
         run_sql_steps(spark, scripts)
     return county_counts(spark.read.parquet(target))
@@ -106,6 +112,8 @@ def load_layers(spark: SparkSession, root: str, out: str | None = None) -> tuple
     for row in discover_named_layers(spark, root).orderBy("path").collect():  # one row per layer file
         try:
             layer = read_layer(spark, row["path"])
+            if "geom_wkb" in layer.columns and "id" not in layer.columns:  # spatial joins tell rows of a layer apart by it
+                layer = layer.withColumn("id", F.monotonically_increasing_id())
             if out is not None:
                 target = f"{out.rstrip('/')}/{row['layer']}"
                 layer.write.mode("overwrite").parquet(target)

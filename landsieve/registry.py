@@ -11,10 +11,12 @@ from . import fixtures as fx
 from .functions.geometry import as_wkt, parse_wkt, transform_srid, with_envelope
 from .functions.scalar import band_is_visible, building_coverage, rank_band, rank_color, sanitize_name
 from .operators import catalog, filters, lookups as lk, scoring, spatial, standardize as std, stats
-from .oracle import with_blocks
+from .oracle import BLOCKS, with_blocks
+from .plans.enrichment import Enrichment, enrich
+from .plans.loading import load_parcels
 from .plans.site_selection import Settings, rank, screening_funnel, site_selection, with_drive_times
-from .session import Scratch, ship_package
-from .sources.sinks import export_columns, report_row
+from .session import Scratch, lasting_scratch, ship_package
+from .sources.sinks import export_columns, report_row, write_parcels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -778,6 +780,62 @@ def q_schema_summary(spark, sf):
 
 # --- whole runs ----------------------------------------------------------------------------------
 
+def enriched_sql(body: str, *blocks: str) -> str:
+    """``body`` over the blocks, where the parcels have the columns of their nearest line, road and substation."""
+    near = lambda layer, dist: nearest_sql(layer, "*", dist).strip().removeprefix(", ").replace("d AS", f"d_{layer} AS", 1).replace("FROM parcels", "FROM bare").replace("k AS (", f"k_{layer} AS (").replace("FROM d WHERE", f"FROM d_{layer} WHERE").split("SELECT * FROM k")[0].rstrip()
+    steps = ",\n".join([
+        f"bare AS ({BLOCKS['parcels']})", *[f"{layer} AS ({BLOCKS[layer]}),\n{near(layer, 100)}" for layer in ("lines", "roads", "substations")],
+        """parcels AS (SELECT p.* REPLACE (l.dist AS et_distance, l.kv AS et_kv, l.operator AS et_operator, r.dist AS hwy_distance, s.operator AS est_operator) FROM bare p
+      LEFT JOIN k_lines l ON l.ogc_fid = p.ogc_fid AND l.rn = 1 LEFT JOIN k_roads r ON r.ogc_fid = p.ogc_fid AND r.rn = 1 LEFT JOIN k_substations s ON s.ogc_fid = p.ogc_fid AND s.rn = 1)""",
+    ])
+    return with_blocks(body, *blocks).replace(f"parcels AS ({BLOCKS['parcels']})", steps)
+
+
+def raw_parcels(spark: SparkSession, sf: str, scratch: Scratch) -> str:
+    """The parcels as CSV files in a tree of state and county folders, without the columns that enrichment adds."""
+    number = lambda c: F.col(c).cast("string")
+    corner = lambda x, y: F.concat(number(x), F.lit(" "), number(y))
+    ring = F.concat_ws(
+        ",", corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny")
+    )
+    rows = fx.parcels(spark, sf).withColumn("wkt", F.concat(F.lit("POLYGON(("), ring, F.lit("))")))
+    rows = rows.drop("et_distance", "et_kv", "et_operator", "est_operator", "hwy_distance", *spatial.BOX_COLUMNS)
+    path = scratch.new_path("raw")
+    rows.withColumnsRenamed({"state2": "state"}).write.partitionBy("state", "county").option("header", True).csv(f"{path}/parcels")
+    return path
+
+
+@query(
+    enriched_sql(
+        """SELECT ogc_fid, state2 AS state, county, et_distance, et_kv, et_operator, hwy_distance, est_operator, drive_time, mcda_score, rn AS parcel_rank_normalized FROM r""",
+        "r"))
+def q_load_select(spark, sf):
+    """Parcel files into tables, enriched by the nearest line, road and substation on the way, then screened and ranked."""
+    scratch = lasting_scratch(spark)
+    loaded, _ = load_parcels(spark, raw_parcels(spark, sf, scratch), scratch)
+    layers = {name: getattr(fx, name)(spark, sf) for name in ("lines", "roads", "substations")}
+    layers = {name: with_box_shapes(layer) for name, layer in layers.items()}
+    enriched = enrich(loaded, layers, Enrichment("lines", max_dist=100.0, srid=None), scratch)
+    tables = scratch.new_path("tables")
+    folder = lambda c: F.regexp_replace(c, "^[a-z]+=", "")
+    named = enriched.drop("county", "geom_wkb", "srid", "is_rect").withColumns({"state": folder("_state"), "county": folder("_folder")}).drop("_state", "_folder")
+    write_parcels(named.withColumn("ogc_fid", F.col("ogc_fid").cast("long")), tables)
+    parcels = spark.read.parquet(tables)
+    ranked_rows = site_selection(parcels, fx.lookups(spark), selection_settings(), scratch, fx.airports(spark, sf), fx.isochrones(spark, sf))
+    return ranked_rows.select(
+        "ogc_fid", "state", "county", "et_distance", "et_kv", "et_operator", "hwy_distance", "est_operator", "drive_time", "mcda_score", "parcel_rank_normalized")
+
+
+def with_box_shapes(layer: DataFrame) -> DataFrame:
+    """Boxes of no width, height or both as exact shapes."""
+    text = lambda *cs: F.concat(*[F.lit(c) if c in " ,()" or c.isupper() else F.col(c).cast("string") for c in cs])
+    line = text("LINESTRING", "(", "minx", " ", "miny", ",", "maxx", " ", "maxy", ")")
+    point = text("POINT", "(", "minx", " ", "miny", ")")
+    flat = (F.col("minx") == F.col("maxx")) & (F.col("miny") == F.col("maxy"))
+    shaped = layer.withColumn("geom_wkb", parse_wkt(F.when(flat, point).otherwise(line))["geom_wkb"])
+    return with_envelope(shaped.drop(*spatial.BOX_COLUMNS))
+
+
 @query(
     """, pt AS (SELECT p.parcelnumb AS pn, MIN(i.time) AS t FROM s6 p JOIN isochrones i ON p.x0 <= i.x1 AND i.x0 <= p.x1 AND p.y0 <= i.y1 AND i.y0 <= p.y1 GROUP BY p.parcelnumb),
     p7 AS (SELECT s6.*, COALESCE(pt.t, 9999.0) AS drive_time FROM s6 LEFT JOIN pt ON s6.parcelnumb = pt.pn),

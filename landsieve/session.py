@@ -96,13 +96,17 @@ class Scratch:
         On a cluster that names no shared folder this fails: without one, every consumer would
         compute ``df`` again.
         """
-        if self.root is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"{self.root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = self.new_path(name)
         df.write.parquet(path)
-        self._paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def new_path(self, name: str) -> str:
+        """A folder of its own, dropped with the others."""
+        if self.root is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        self._paths.append(f"{self.root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+        return self._paths[-1]
+
     def close(self) -> None:
         for path in self._paths:
             delete_path(self.spark, path)
