@@ -104,14 +104,14 @@ def select(spark: SparkSession, args: argparse.Namespace) -> str:
 
 def listed(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.what == "runs":
-        return catalog.runs_info(spark.read.parquet(f"{args.tables}/results"))
-    parcels = spark.read.parquet(f"{args.tables}/parcels")
+        return catalog.runs_info(catalog.run_folders(spark, f"{args.tables}/results"))
+    places = catalog.folders(spark, f"{args.tables}/parcels", ["state", "county"])
     if args.what == "states":
-        return catalog.states(parcels)
+        return catalog.states(places)
     if args.state is None:
         raise SystemExit("--state is needed")
     if args.what == "counties":
-        return catalog.counties(parcels, args.state)
+        return catalog.counties(places, args.state)
     return catalog.providers(readers.read_parcels(spark, f"{args.tables}/parcels", args.state, args.county))
 
 
@@ -141,7 +141,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         return stamp
     if args.command == "cleanup":
         results = f"{args.tables}/results"
-        dropped = sinks.drop_runs(spark, results, catalog.runs_to_drop(spark.read.parquet(results), args.keep))
+        dropped = sinks.drop_runs(spark, results, catalog.runs_to_drop(catalog.run_folders(spark, results), args.keep))
         print(f"dropped {dropped} runs")
         return dropped
     print_rows(listed(spark, args))

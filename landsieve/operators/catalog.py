@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .skew import lookup_join
-
 RUN_KEYS = ["state", "county", "provider"]
 RUN_FORMAT = "yyyyMMdd_HHmmss"
 
@@ -47,11 +45,24 @@ def runs(df: DataFrame) -> DataFrame:
     )
 
 
+def folders(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Distinct partition keys of a written table, from the names of its folders alone: no data file is opened.
+
+    Spark lists the folders, many at a time; the files it lists hand out nothing but where they lie.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct()
+
+
+def run_folders(spark: SparkSession, path: str) -> DataFrame:
+    """The keys of all runs of a written results table, for ``runs``, ``runs_info`` and ``runs_to_drop``."""
+    return folders(spark, path, [*RUN_KEYS, "run_ts"])
+
+
 def runs_info(df: DataFrame) -> DataFrame:
     """One row per run with its parsed time, the number of runs of its key and their newest time."""
-    listed = runs(df)
-    per_key = listed.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("total_runs"), F.max("created").alias("newest"))
-    return lookup_join(listed, per_key, RUN_KEYS, "inner", ["run_ts"])
+    of_key = Window.partitionBy(*RUN_KEYS)  # runs, not rows
+    return runs(df).withColumn("total_runs", F.count(F.lit(1)).over(of_key)).withColumn("newest", F.max("created").over(of_key))
 
 
 def runs_to_drop(df: DataFrame, keep: int = 2) -> DataFrame:
@@ -59,9 +70,5 @@ def runs_to_drop(df: DataFrame, keep: int = 2) -> DataFrame:
     if keep < 1:
         raise ValueError("at least one run has to be kept")
     listed = df.select(*RUN_KEYS, F.col("run_ts").cast("string").alias("run_ts")).distinct()
-    # The rank limit cuts every key to a few rows before the shuffle, however many runs it has.
     newest_first = Window.partitionBy(*RUN_KEYS).orderBy(F.col("run_ts").desc())
-    kept = listed.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") <= F.lit(keep))
-    oldest_kept = kept.groupBy(*RUN_KEYS).agg(F.min("run_ts").alias("oldest_kept"))
-    dated = lookup_join(listed, oldest_kept, RUN_KEYS, "inner", ["run_ts"])
-    return dated.where(F.col("run_ts") < F.col("oldest_kept")).drop("oldest_kept")
+    return listed.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") > F.lit(keep)).drop("age")

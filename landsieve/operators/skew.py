@@ -15,7 +15,10 @@ TINY_BYTES = 512 * 1024
 # A key is hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE keys
 # are hot whatever the data looks like: that is the size bound of the hot-key broadcast.
 HOT_SHARE = 0.001
-SALTS = 64
+# Items that the frequent-items summary tracks; it misses no key of more than about 3.5 / TRACKED of the rows.
+TRACKED = 8192
+# A hot key gets so many salts that each holds at most 1 / SLICES of all rows.
+SLICES = 400
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -46,14 +49,15 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Non-NULL keys holding more than ``share`` of the keyed rows (at most ``1 / share`` rows)."""
-    counts = (
-        df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    total = counts.agg(F.sum("_n").alias("_total"))  # one row
-    return counts.join(F.broadcast(total)).where(F.col("_n") > F.col("_total") * F.lit(share)).select(*keys)
+    """``(_hot, _salts)``: hashes of the keys holding more than ``share`` of the keyed rows (at most ``1 / share`` rows).
+
+    One pass: a mergeable frequent-items summary (Misra-Gries) of bounded size per task, merged into one. Nothing is shuffled by key.
+    Salts are in proportion to a key's share.
+    """
+    keyed = df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).select(F.xxhash64(*keys).alias("item"))
+    summary = keyed.agg(F.expr(f"approx_top_k(item, {int(1 / share)}, {TRACKED})").alias("found"), F.count(F.lit(1)).alias("total"))
+    found = summary.select(F.explode("found").alias("f"), "total").where(F.col("f.count") > F.col("total") * F.lit(share))
+    return found.select(F.col("f.item").alias("_hot"), F.ceil(F.col("f.count") / F.col("total") * F.lit(SLICES)).cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -63,28 +67,26 @@ def salted_join(
     how: str,
     salt_by: list[str],
     residual: Column | None = None,
-    salts: int = SALTS,
+    slices: int = SLICES,
 ) -> DataFrame:
-    """Equi-join (inner, left or left_anti) with hot left keys spread over ``salts`` reducers.
+    """Equi-join (inner, left or left_anti) with hot left keys spread over as many reducers as their share asks for.
 
     Rows with a NULL key match nothing, so they are spread as well. The right rows of a hot key
     are repeated once per salt. ``salt_by`` should identify a left row; a hash of it keeps the
-    salt the same when a task is run again.
+    salt the same when a task is run again. Keys are told hot by a hash on both sides, so keys that share one are salted alike.
     """
-    hot = hot_keys(left, on).select(*[F.col(k).alias(f"_hot_{k}") for k in on])
-    is_hot = F.col(f"_hot_{on[0]}").isNotNull()
-    marks = [f"_hot_{k}" for k in on]
+    hot = hot_keys(left, on)
+    kinds = {k: left.schema[k].dataType for k in on}
 
     def mark(df: DataFrame) -> DataFrame:
-        match = reduce(Column.__and__, [F.col(k) == F.col(f"_hot_{k}") for k in on])
-        return df.join(F.broadcast(hot), match, "left")
+        item = F.xxhash64(*[F.col(k).cast(kinds[k]) for k in on])
+        return df.withColumn("_item", item).join(F.broadcast(hot), F.col("_item") == F.col("_hot"), "left").drop("_item", "_hot")
 
     has_null = reduce(Column.__or__, [F.col(k).isNull() for k in on])
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    spread = mark(left).withColumn("_salt", F.when(is_hot | has_null, salt).otherwise(F.lit(0))).drop(*marks)
+    salts = F.coalesce(F.when(has_null, F.lit(slices)), "_salts", F.lit(1))
+    spread = mark(left).withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("_salts")
 
-    every_salt = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copies = mark(right).withColumn("_salt_r", F.explode(every_salt)).drop(*marks)
+    copies = mark(right).withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - F.lit(1)))).drop("_salts")
     copies = copies.withColumnsRenamed({k: f"_r_{k}" for k in on})
 
     condition = reduce(

@@ -2,55 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .scoring import RANK
 
 # Sketch accuracy for locating a quantile: the sketch is off by at most rows / accuracy ranks.
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
+# Bins of a histogram, so values that any round gathers.
+BINS = 1024
 
 
-def exact_quantile(df: DataFrame, column: str, q: float = 0.5, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Continuous quantile as one row ``(quantile)``, without sorting all values in one task.
+def exact_quantile(df: DataFrame, column: str, q: float = 0.5, accuracy: int = SKETCH_ACCURACY, bins: int = BINS) -> DataFrame:
+    """Continuous quantile as one row ``(quantile)``: rounds of mergeable histograms, a pass over ``df`` each.
 
-    A mergeable sketch with a guaranteed rank error brackets the quantile; only the distinct
-    values inside the bracket, a fixed small share of the rows, are then ordered with their
-    counts, and the rows below the bracket are merely counted. Equal values collapse into one.
+    A mergeable sketch with a guaranteed rank error brackets the quantile. Each round counts the values of the bracket in bins of one width,
+    with the least and the most of each bin; a wanted rank that is the first or the last of its bin, or in a bin of one value, is
+    found, otherwise its bin is the next bracket. No task ever gathers more than ``bins`` rows, however many values there
+    are; since every round divides the bracket by ``bins``, one or two do unless values crowd together. NULL and NaN do not count.
+    Jobs run at once; ``df`` should be a table rather than a long plan.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     margin = 4.0 / accuracy
     ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    bracket = values.agg(
-        F.percentile_approx("v", ends, accuracy).alias("ends"), F.count(F.lit(1)).alias("total")
-    ).select(
-        # An end at the very start or end of the data is left open.
-        F.when(F.lit(ends[0]) > 0.0, F.col("ends")[0]).otherwise(F.lit(float("-inf"))).alias("low"),
-        F.when(F.lit(ends[1]) < 1.0, F.col("ends")[1]).otherwise(F.lit(float("inf"))).alias("high"),
-        (F.lit(q) * (F.col("total") - F.lit(1))).alias("position"),
-    )
-    bracketed = values.join(F.broadcast(bracket))  # one row
-    # Zones 0 and 2, below and above the bracket, collapse to one partial row per task each.
-    zone = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
-    counts = (
-        bracketed.groupBy(zone.alias("zone"), F.when(zone == 1, F.col("v")).alias("v"), "position")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    )
-    order = Window.partitionBy("position").orderBy("zone", "v")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # Of a collapsed zone only the value next to the bracket can be asked for.
-    located = counts.select(
-        "position", (upto - F.col("n")).alias("first"), (upto - F.lit(1)).alias("last"),
-        F.when(F.col("zone") == 0, F.col("most")).otherwise(F.col("least")).alias("value"),
-    )
-
-    def value_at(index: Column) -> Column:
-        return F.max(F.when((F.col("first") <= index) & (index <= F.col("last")), F.col("value")))
-
-    below, above = value_at(F.floor("position")), value_at(F.ceil("position"))
-    share = F.max("position") - F.floor(F.max("position"))
-    return located.agg((below + (above - below) * share).alias("quantile"))
+    seen = values.agg(F.percentile_approx("v", ends, accuracy).alias("ends"), F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    schema = "quantile double"
+    if not seen["n"]:
+        return df.sparkSession.createDataFrame([(None,)], schema)
+    position = q * (seen["n"] - 1)
+    # An end at the very start or end of the data is that of the data.
+    bracket = (seen["ends"][0] if ends[0] > 0.0 else seen["low"], seen["ends"][1] if ends[1] < 1.0 else seen["high"])
+    ranks = {math.floor(position), math.ceil(position)}
+    found: dict[int, float] = {}
+    while ranks - found.keys():
+        wanted = min(ranks - found.keys())
+        bracket = _narrowed(values, bracket, ranks, wanted, found, bins)
+    below, above = found[math.floor(position)], found[math.ceil(position)]
+    value = below if below == above else below + (above - below) * (position - math.floor(position))
+    return df.sparkSession.createDataFrame([(value,)], schema)
+
+
+def _narrowed(values: DataFrame, bracket: tuple[float, float], ranks: set[int], wanted: int, found: dict[int, float], bins: int) -> tuple[float, float]:
+    """One round: ranks that a histogram of the bracket settles go to ``found``; the bin that holds ``wanted`` is returned."""
+    low, high = (F.lit(float(x)) for x in bracket)
+    # Halves, since the distance of two doubles may be beyond the largest one.
+    share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2)
+    inside = F.least(F.floor(share * bins), F.lit(bins - 1)) if bracket[0] < bracket[1] else F.lit(0)
+    place = F.when(F.col("v") < low, -1).when(F.col("v") > high, bins).otherwise(inside).cast("long")
+    rows = values.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+    before, next_bracket = 0, bracket
+    for r in sorted(rows):
+        for rank in ranks - found.keys():
+            if before <= rank < before + r["n"]:
+                if rank == before or r["least"] == r["most"]:
+                    found[rank] = r["least"]
+                elif rank == before + r["n"] - 1:
+                    found[rank] = r["most"]
+        if before <= wanted < before + r["n"]:
+            next_bracket = (r["least"], r["most"])
+        before += r["n"]
+    return next_bracket
 
 
 def ranking_stats(df: DataFrame, rank: str = RANK, approximate: bool = False) -> DataFrame:

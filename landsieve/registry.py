@@ -681,6 +681,41 @@ def q_runs_info(spark, sf):
     )
 
 
+def written_results(spark: SparkSession, sf: str) -> str:
+    """A results table with a folder for each run: one run a year of every county, named after all providers."""
+    t = lambda name: fx.table(spark, sf, name)
+    joined = (
+        t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    rows = joined.select(
+        F.col("o_orderkey").alias("ogc_fid"), F.lower("r_name").alias("state"), F.lower("n_name").alias("county"), F.lit("all_providers").alias("provider"),
+        F.concat(F.year("o_orderdate").cast("string"), F.lit("0101_000000")).alias("run_ts"))
+    path = lasting_scratch(spark).new_path("results")
+    rows.repartition("state", "county", "run_ts").write.partitionBy(*catalog.RUN_KEYS, "run_ts").parquet(path)
+    return path
+
+
+YEARLY_SQL = """WITH runs AS (SELECT DISTINCT lower(r_name) AS state, lower(n_name) AS county, 'all_providers' AS provider, strftime(o_orderdate, '%Y') || '0101_000000' AS run_ts
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(YEARLY_SQL + """ SELECT state, county, provider, run_ts, count(*) OVER w AS total_runs, max(run_ts) OVER w AS newest
+    FROM runs WINDOW w AS (PARTITION BY state, county, provider)""")
+def q_runs_listed(spark, sf):
+    """Runs of a written table, read from the names of its folders."""
+    info = catalog.runs_info(catalog.run_folders(spark, written_results(spark, sf)))
+    return info.select(
+        "state", "county", "provider", "run_ts", "total_runs", F.date_format("newest", "yyyyMMdd_HHmmss").alias("newest")
+    )
+
+
+@query(YEARLY_SQL + """ SELECT state, county, provider, run_ts FROM
+    (SELECT *, row_number() OVER (PARTITION BY state, county, provider ORDER BY run_ts DESC) AS age FROM runs) WHERE age > 2""")
+def q_retention_listed(spark, sf):
+    return catalog.runs_to_drop(catalog.run_folders(spark, written_results(spark, sf)))
+
+
 # --- schema --------------------------------------------------------------------------------------
 
 @query(
