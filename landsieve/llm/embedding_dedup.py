@@ -57,11 +57,14 @@ class EmbeddingDedup:
         return ceil(log(self.miss) / log(1 - near**each)), each
 
     def classes(self, store: Store, vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-        """(members, classes): usable vectors, and one row (rep, n, vector) for each different one."""
+        """(members, classes): usable vectors, and one row (rep, least, n, vector) for each different one.
+
+        ``rep`` is a number given when the classes are written, since ids may be null or shared by different vectors; ``least`` is the smallest id.
+        """
         rows = vectors.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).alias("vector"))
         rows = store.write(rows.filter(usable("vector")), "usable")
-        classes = rows.groupBy("vector").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"))
-        return rows, store.write(classes.select("rep", "n", "vector").withColumn("rep", F.coalesce("rep", F.lit(-(2**63)))), "classes")
+        classes = rows.groupBy("vector").agg(F.min("row_id").alias("least"), F.count("*").alias("n"))
+        return rows, store.write(classes.select(F.monotonically_increasing_id().alias("rep"), "least", "n", "vector"), "classes")
 
     def coded(self, classes: DataFrame, tables: int, each: int) -> DataFrame:
         """``raw`` (the vector's bytes), and for each table a hash of its quantised projections, as ``keys`` and packed as ``codes``.
@@ -176,17 +179,20 @@ class EmbeddingDedup:
         Equal vectors are one class: they link with each other and with whatever their class links
         with, and are never expanded into pairs. Unusable vectors (see ``classes``) link with
         nothing, vectors of other lengths neither. Links found have a cosine of the threshold or more.
+        Rows that share an id are vectors of their own. A component's id is its smallest, null ids aside; it is null if all are.
         """
         store = Store(vectors.sparkSession)
         members, classes = self.classes(store, vectors, id_col, vector_col)
         tables, each = self.plan(classes.count())
-        coded = store.write(self.coded(classes, tables, each), "coded")
+        coded = store.write(self.coded(classes.select("rep", "n", "vector"), tables, each), "coded")
         kind = "f4" if "float" in dict(vectors.dtypes)[vector_col] else "f8"
         found = store.write(self.compared(store, coded, kind), "found")
         links = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
         roots = connected_components(store, found.filter("b IS NOT NULL")).withColumnRenamed("node", "rep")
-        placed = classes.join(links, "rep", "left").join(roots, "rep", "left").select(
-            "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        rooted = store.write(classes.select("rep", "least").join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "least"), "rooted")
+        components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        components = rooted.select("rep", "root").join(components, "root").select("rep", "component_id")
+        placed = classes.join(links, "rep", "left").join(components, "rep").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
         linked = members.join(placed, "vector").select("row_id", "n_links", "component_id")
         rest = vectors.filter(~usable(vector_col)).select(F.col(id_col).cast("long").alias("row_id"))
         return linked.unionByName(rest.select("row_id", F.lit(0).cast("long").alias("n_links"), F.col("row_id").alias("component_id")))
