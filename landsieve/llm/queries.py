@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,11 +22,12 @@ from .sharding import Sharding, fill_table
 from .simhash import SimHashDedup, hexadecimal
 from .store import Store, whole_text
 from .token_align import TokenAlignment
-from .token_counts import TokenizerVersion, TokenTotals, count_tokens, signed
+from .token_counts import TokenizerVersion, TokenTotals, by_version, count_once, id_map, signed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 SHARDS = tuple(f"shard-{i:03d}" for i in range(96))
 
 
@@ -118,15 +120,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised (blanks in a row become one), and the first batch is delivered again, which changes nothing."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     versions = [TokenizerVersion(n, public_tokenizers.path(f"{n}.tiktoken"), public_tokenizers.PATTERN) for n in ("byte_bpe_50k", "byte_bpe_multi_50k")]
-    totals = TokenTotals(spark, Store(spark).path("totals"))
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    gone = docs.join(marks.filter("toxic = 1"), "doc_id", "left_semi")
-    old = docs.join(marks.filter("coalesce(toxic, 0) <> 1 AND quality = 0"), "doc_id", "left_semi")
-    new = old.withColumn("text", F.regexp_replace(whole_text("text"), r"[\x20\x09-\x0D]+", " "))
-    totals.commit("arrive", signed(count_tokens(docs, versions), 1))
-    totals.commit("remove", signed(count_tokens(gone, versions), -1))
-    totals.commit("revise", signed(count_tokens(old, versions), -1).unionByName(signed(count_tokens(new, versions), 1)))
-    totals.commit("arrive", signed(count_tokens(docs, versions), 1))
+    store = Store(spark)
+    totals = TokenTotals(spark, store.path("totals"))
+    marks = store.write(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")), "marks")
+    revised = marks.filter("coalesce(toxic, 0) <> 1 AND quality = 0").select("doc_id")
+    counted = store.write(count_once(docs, versions, id_map(revised), lambda text: BLANKS.sub(" ", text)), "counted")
+    gone = counted.join(marks.filter("toxic = 1"), "doc_id", "left_semi")
+    changed = counted.join(revised, "doc_id", "left_semi")
+    totals.commit("arrive", signed(by_version(counted, versions), 1))
+    totals.commit("remove", signed(by_version(gone, versions), -1))
+    totals.commit("revise", signed(by_version(changed, versions), -1).unionByName(signed(by_version(changed, versions, new=True), 1)))
+    totals.commit("arrive", signed(by_version(counted, versions), 1))
     return totals.totals()
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,63 @@ def count_tokens(docs: DataFrame, versions: list[TokenizerVersion], text_col: st
     return rows.mapInArrow(counted, "source string, lang string, tokenizer string, n_tokens long, n_chars long")
 
 
+#: Bits of the map that tells which ids may be revised, so 4 MB whatever their number; a fuller map only means more texts counted twice.
+MAP_BITS = 1 << 25
+
+
+def id_map(ids: DataFrame, id_col: str = "doc_id") -> np.ndarray:
+    """A bit for the hash of each id, set in tasks and united by a grouped OR of words: bounded, and without false absences."""
+    bits = ids.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(MAP_BITS)).alias("bit"))
+    words = bits.selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, CAST(bit & 63 AS INT)) AS bits")
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(MAP_BITS // 64, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table
+
+
+def count_once(
+    docs: DataFrame, versions: list[TokenizerVersion], may_change: np.ndarray, revise: Callable[[str], str], id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, source, lang, n_tokens, n_chars, new_tokens, new_chars: one row for each document, read and counted once.
+
+    Lists have a number for each version. The new counts are those of the revised text; documents that the map (``id_map``)
+    rules out have none. Texts go nowhere: whoever needs some documents' counts joins the counts.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(may_change)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        encodes = [_encoding(v.path, v.pattern).encode_ordinary for v in versions]
+        for part in slices(batches):
+            bits = part.column(3).to_numpy()
+            changes = (table[bits >> 6] >> (bits & 63) & 1).tolist()
+            out: list[tuple] = []
+            for text, change in zip(part.column(4).to_pylist(), changes, strict=True):
+                counts = [len(encode(text)) for encode in encodes]
+                new = revise(text) if change else None
+                changed = counts if new == text else None if new is None else [len(encode(new)) for encode in encodes]
+                out.append((counts, len(text), changed, None if new is None else len(new)))
+            kinds = [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], COUNTED)
+
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(
+        doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+        F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS)).alias("bit"), whole_text(text_col).alias("text"))
+    return rows.mapInArrow(counted, "doc_id long, source string, lang string, n_tokens array<long>, n_chars long, new_tokens array<long>, new_chars long")
+
+
+COUNTED = ["doc_id", "source", "lang", "n_tokens", "n_chars", "new_tokens", "new_chars"]
+
+
+def by_version(counted: DataFrame, versions: list[TokenizerVersion], new: bool = False) -> DataFrame:
+    """The rows of ``count_tokens`` from those of ``count_once``, before or after the revision."""
+    tokens, chars = ("new_tokens", "new_chars") if new else ("n_tokens", "n_chars")
+    names = F.array(*[F.lit(v.name) for v in versions])
+    rows = counted.select("source", "lang", F.explode(F.arrays_zip(names.alias("tokenizer"), F.col(tokens).alias("n"))).alias("v"), F.col(chars).alias("n_chars"))
+    return rows.select("source", "lang", F.col("v.tokenizer").alias("tokenizer"), F.col("v.n").alias("n_tokens"), "n_chars")
+
+
 def signed(counts: DataFrame, sign: int) -> DataFrame:
     """Counts as deltas: +1 for rows that arrive, -1 for rows that go. A revision is both."""
     return counts.select(*KEYS, F.lit(sign).cast("long").alias("n_docs"), *[(F.col(c) * sign).alias(c) for c in SUMS[1:]])

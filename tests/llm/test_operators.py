@@ -27,7 +27,7 @@ from landsieve.llm.piece_bpe import PieceTokens, PrefixTable, piece_encoder
 from landsieve.llm.sharding import Sharding, fill_table
 from landsieve.llm.simhash import BKTree, SimHashDedup, fingerprint
 from landsieve.llm.store import Store
-from landsieve.llm.token_counts import TokenizerVersion, TokenTotals, count_tokens, signed
+from landsieve.llm.token_counts import TokenizerVersion, TokenTotals, by_version, count_once, count_tokens, id_map, signed
 from landsieve.llm.word_tokens import word_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -214,6 +214,24 @@ def test_embeddings(spark, operator):
     assert operator.assign(local(spark, [], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_with_null_and_shared_ids(spark):
+    """Rows that share an id, or have none, are vectors of their own; no component is joined by an id."""
+    rows = [
+        (7, [0.0, 1.0, 0.0, 0.0]), (7, [1.0, 0.02, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (8, [0.0, 1.0, 0.01, 0.0]), (9, [0.01, 1.0, 0.0, 0.0]), (7, [0.0, 0.0, 0.0, 1.0]),
+        (None, [0.0, 0.0, 1.0, 0.0]), (20, [0.0, 0.02, 1.0, 0.0]), (None, [1.0, 0.0, 0.02, 0.0]), (None, [0.0, 1.0, 1.0, 1.0]), (None, [0.0, 1.0, 1.0, 1.0]), (None, None),
+    ]
+    x = [np.array(v) if v else None for _, v in rows]
+    near = lambda a, b: a is not None and b is not None and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.95
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if near(x[i], x[j])]
+    root = union_find(range(len(rows)), links)
+    want = []
+    for i, (row_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in root if root[j] == root[i] and rows[j][0] is not None]
+        want.append((row_id, sum(i in e for e in links), min(ids, default=None)))
+    got = EmbeddingDedup().assign(local(spark, rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_embedding_recall(spark):
     rows = pd.read_parquet(f"{SMALL}/embeddings.parquet")
     x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
@@ -534,6 +552,20 @@ def test_token_totals(spark, odd, empty):
         totals.commit("../x", signed(counts, 1))
 
 
+def test_counts_of_revised_documents(spark, odd):
+    """Counted once, with the counts after the revision for the documents that may change; extra columns do not matter."""
+    versions = [TokenizerVersion("v1", RANKS, public_tokenizers.PATTERN), TokenizerVersion("v2", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)]
+    changes = id_map(local(spark, [(1,), (4,), (9,), (None,), (77,)], "doc_id long"))
+    shorter = lambda text: text.replace(" ", "")
+    rows = count_once(odd.selectExpr("*", "1 AS bit", "2 AS n_tokens"), versions, changes, shorter).collect()
+    assert {r["doc_id"] for r in rows if r["new_tokens"] is not None} == {1, 4, 9} and len(rows) == len(ODD)
+    key = lambda r: str(tuple(r))
+    frame = count_once(odd, versions, changes, shorter)
+    assert sorted(by_version(frame, versions).collect(), key=key) == sorted(count_tokens(odd, versions).collect(), key=key)
+    revised = local(spark, [(i, shorter(t or ""), lang, s, n) for i, t, lang, s, n in ODD if i in (1, 4, 9)], DOCS)
+    assert sorted(by_version(frame.filter("new_tokens IS NOT NULL"), versions, new=True).collect(), key=key) == sorted(count_tokens(revised, versions).collect(), key=key)
+
+
 def test_token_totals_query(spark):
     """The final totals are those of the documents as they are after all batches."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
