@@ -207,7 +207,10 @@ class PieceTokens:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             for part in slices(batches, 128):
-                texts = [model.decode(ids) if ids else "" for ids in part.column(1).to_pylist()]
+                # Lists cut from one flat array: far cheaper than a Python object for each id of an Arrow list.
+                ends = np.cumsum(np.diff(part.column(1).offsets.to_numpy())).tolist()
+                flat = part.column(1).flatten().to_numpy().tolist()
+                texts = [model.decode(flat[i:j]) if j > i else "" for i, j in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["row_id", "ids", "decoded"])
 
         return encoded.select("row_id", "ids").mapInArrow(decoded, "row_id long, ids array<int>, decoded string")
