@@ -181,12 +181,15 @@ def q_polygon_anti(spark, sf):
     return spatial.spatial_anti(left, right, "ogc_fid", "id", fx.CELL).select("ogc_fid")
 
 
+def nearest_blocks(layer: str, max_dist: float, parcels: str = "parcels", suffix: str = "") -> str:
+    """Blocks of all pairs within reach and of their order for each parcel; ``rn`` is 1 for the nearest."""
+    return f"""d{suffix} AS (SELECT ogc_fid, l.*, sqrt(power(greatest(0.0e0, l.x0 - p.x1, p.x0 - l.x1), 2) + power(greatest(0.0e0, l.y0 - p.y1, p.y0 - l.y1), 2)) AS dist
+      FROM {parcels} p JOIN {layer} l ON l.x0 - p.x1 <= {max_dist} AND p.x0 - l.x1 <= {max_dist} AND l.y0 - p.y1 <= {max_dist} AND p.y0 - l.y1 <= {max_dist}),
+    k{suffix} AS (SELECT *, row_number() OVER (PARTITION BY ogc_fid ORDER BY dist, id) AS rn FROM d{suffix} WHERE dist <= {max_dist})"""
+
+
 def nearest_sql(layer: str, columns: str, max_dist: float) -> str:
-    return f"""
-    , d AS (SELECT ogc_fid, l.*, sqrt(power(greatest(0.0e0, l.x0 - p.x1, p.x0 - l.x1), 2) + power(greatest(0.0e0, l.y0 - p.y1, p.y0 - l.y1), 2)) AS dist
-      FROM parcels p JOIN {layer} l ON l.x0 - p.x1 <= {max_dist} AND p.x0 - l.x1 <= {max_dist} AND l.y0 - p.y1 <= {max_dist} AND p.y0 - l.y1 <= {max_dist}),
-    k AS (SELECT *, row_number() OVER (PARTITION BY ogc_fid ORDER BY dist, id) AS rn FROM d WHERE dist <= {max_dist})
-    SELECT {columns} FROM k WHERE rn = 1"""
+    return f", {nearest_blocks(layer, max_dist)} SELECT {columns} FROM k WHERE rn = 1"
 
 
 @query(nearest_sql("lines", "ogc_fid, id, dist AS et_distance, kv AS et_kv, operator AS et_operator", 100), "parcels", "lines")
@@ -630,17 +633,17 @@ def q_county_counts(spark, sf):
 
 
 @query(
-    """SELECT ogc_fid, county, usedesc, CASE WHEN state2 = 'asia' THEN et_kv END AS et_kv FROM parcels
-    WHERE gisacre > 50.0 AND state2 IN ('asia', 'europe')""",
+    """SELECT ogc_fid, county, usedesc, CASE WHEN state2 = 'asia' THEN et_kv END AS et_kv, CASE WHEN state2 IN ('asia', 'africa') THEN et_operator END AS et_operator
+    FROM parcels WHERE gisacre > 50.0""",
     "parcels",
 )
 def q_union_counties(spark, sf):
-    """Two states whose files differ in their columns, read as one with the filter pushed into each."""
+    """All states, whose files differ in their columns, read as one with the filter pushed into each."""
     parcels = fx.parcels(spark, sf)
-    asia = parcels.where("state2 = 'asia'").select("ogc_fid", "county", "gisacre", "usedesc", "et_kv")
-    europe = parcels.where("state2 = 'europe'").select("usedesc", "gisacre", "county", "ogc_fid")
-    both = std.union_layers([asia, europe])
-    return filters.filter_min_size(both).select("ogc_fid", "county", "usedesc", "et_kv")
+    own = {"asia": ["et_kv", "et_operator"], "africa": ["et_operator"], "america": [], "europe": [], "middle_east": []}
+    states = [parcels.where(F.col("state2") == state).select("usedesc", "gisacre", *columns, "county", "ogc_fid") for state, columns in own.items()]
+    united = std.union_layers(states)
+    return filters.filter_min_size(united).select("ogc_fid", "county", "usedesc", "et_kv", "et_operator")
 
 
 def run_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -817,9 +820,9 @@ def q_schema_summary(spark, sf):
 
 def enriched_sql(body: str, *blocks: str) -> str:
     """``body`` over the blocks, where the parcels have the columns of their nearest line, road and substation."""
-    near = lambda layer, dist: nearest_sql(layer, "*", dist).strip().removeprefix(", ").replace("d AS", f"d_{layer} AS", 1).replace("FROM parcels", "FROM bare").replace("k AS (", f"k_{layer} AS (").replace("FROM d WHERE", f"FROM d_{layer} WHERE").split("SELECT * FROM k")[0].rstrip()
     steps = ",\n".join([
-        f"bare AS ({BLOCKS['parcels']})", *[f"{layer} AS ({BLOCKS[layer]}),\n{near(layer, 100)}" for layer in ("lines", "roads", "substations")],
+        f"bare AS ({BLOCKS['parcels']})",
+        *[f"{layer} AS ({BLOCKS[layer]}),\n{nearest_blocks(layer, 100, 'bare', f'_{layer}')}" for layer in ("lines", "roads", "substations")],
         """parcels AS (SELECT p.* REPLACE (l.dist AS et_distance, l.kv AS et_kv, l.operator AS et_operator, r.dist AS hwy_distance, s.operator AS est_operator) FROM bare p
       LEFT JOIN k_lines l ON l.ogc_fid = p.ogc_fid AND l.rn = 1 LEFT JOIN k_roads r ON r.ogc_fid = p.ogc_fid AND r.rn = 1 LEFT JOIN k_substations s ON s.ogc_fid = p.ogc_fid AND s.rn = 1)""",
     ])
