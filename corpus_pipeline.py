@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in windows of 2048 tokens."""
     operator = Packing(public_tokenizers.path("word_bpe_49k.json"))
-    pieces = operator.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = operator.pieces(docs, ids=False)
     return operator.pack(pieces).select(F.col("row_id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -104,7 +104,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     operator = Packing(public_tokenizers.path("word_bpe_49k.json"))
-    pieces = operator.pieces(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = operator.pieces(table(spark, sf_dir, "documents"), ids=False)
     return operator.pack(pieces).select(F.col("row_id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -289,6 +290,40 @@ def test_word_tokens_are_the_library_s():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokens_by_rank():
+    """Each token, spelt out, is merged to itself by the listed pairs, so ranks take no other way."""
+    model = json.load(open(WORDS, encoding="utf-8"))["model"]
+    ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
+    for token in map("".join, ranks):
+        parts = [*token.removesuffix("</w>")]
+        if token.endswith("</w>"):
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), 10**9))
+            assert (parts[best], parts[best + 1]) in ranks
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [token]
+
+
+def test_word_tokens_of_printable_signs_and_long_runs():
+    from tokenizers import Tokenizer
+
+    plain, encoder = Tokenizer.from_file(WORDS), word_tokens(WORDS)
+    random.seed(26)
+    signs = [*map(chr, range(32, 127)), "'", "'", *"'stdrevml0123  \n", " the ", "é", "naïve", "漢字", "'s", "'ll", "'VE", "'r", "n't", "x" * 700, "word" * 40]
+    texts = ["", "漢" * 3000, "a" * 5000, "'", "''s", "5's", "<|endoftext |>"]
+    texts += ["".join(random.choices(signs, k=random.randrange(25))) for _ in range(6000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert all(len(word) <= 64 for word in encoder.new)
+
+
+def test_packing_keeps_columns_of_clashing_names(spark):
+    pieces = local(spark, [(1, 0, 5, "b", 9, 7)], "row_id long, start long, length long, block string, offset long, sequence_id long")
+    row = Packing(WORDS).pack(pieces).collect()[0]
+    assert (row["block"], row["offset"], row["sequence_id"], row["length"]) == ("b", 0, 0, 5)
+
+
 def test_word_tokens_of_decomposed_capitals():
     """T, J, H, W and Y do not compose with signs that their small letters compose with."""
     from tokenizers import Tokenizer
@@ -333,7 +368,7 @@ def test_packing(spark, odd, empty):
     assert check_packing(q.op7_packing(spark, SMALL).collect(), dict(zip(docs["doc_id"], docs["text"], strict=True))) > 0.97
     operator = Packing(WORDS, block_pieces=4)
     unique = odd.dropDuplicates(["doc_id"])
-    packed = operator.pack(operator.pieces(unique).withColumn("ids_crc32", F.crc32("ids"))).withColumnRenamed("row_id", "doc_id")
+    packed = operator.pack(operator.pieces(unique)).withColumnRenamed("row_id", "doc_id")
     check_packing(packed.collect(), {r[0]: r[1] for r in ODD})
     assert operator.pack(operator.pieces(empty)).count() == 0
 
