@@ -464,6 +464,41 @@ def test_lines(spark, empty):
     assert LineDedup().assign(empty).count() == 0
 
 
+def test_lines_of_repeated_rows_and_documents_given_back(spark):
+    line, other = "one line that is long enough to count as a line of text", "quite another one, also long enough to be told apart from it"
+    rows = [(1, f"{line}\n\n{other}", "a"), (1, f"{line}\n\n{other}", "b"), (None, f"  {line}.\n", "c"), (None, f"{other}!\nlast", "d"), (2, None, "e"), (3, "", "f")]
+    docs = local(spark, rows, "doc_id long, text string, number string").withColumn("row", F.lit(0))
+    kept = [r for r in LineDedup().assign(docs).collect() if r["kept"]]
+    assert sorted((r["doc_id"] or 0, r["line_no"]) for r in kept) == [(0, 0), (0, 0), (0, 1)]
+    back = LineDedup().deduplicate(docs)
+    assert back.columns == docs.columns
+    got = {r["number"]: (r["doc_id"], r["text"]) for r in back.collect()}
+    assert got == {"a": (1, ""), "b": (1, ""), "c": (None, f"  {line}.\n"), "d": (None, f"{other}!\nlast"), "e": (2, None), "f": (3, "")}
+
+
+def test_lines_gathered_apart_from_a_pivot(spark):
+    """Copies of a text that a pivot is not similar to meet one of them, not each other; shingles of one component make no pair."""
+    random.seed(8)
+    letters = "abcdefghijklmnop "
+    text = lambda n: "".join(random.choice(letters) for _ in range(n))
+    head, tail = text(250), text(150)
+    other = head + tail
+    lines = [head + text(150), other, *[other[:k] + "ZZ" + other[k + 2 :] for k in range(5, 395, 5)]]
+    operator = LineDedup()
+    texts = local(spark, list(enumerate(lines)), "line_id long, line string")
+    compared = operator.compared(local(spark, [(0, i) for i in range(1, len(lines))], "a long, b long"), texts).collect()
+    assert max(r["similarity"] for r in compared) < 0.8
+    schema = "pivot long, line_id long, size long, common long, outside array<long>, root long, apart boolean"
+    rows = [(0, r["b"], r["size_b"], r["common"], r["outside"], r["b"], True) for r in compared]
+    company = local(spark, [(i, 100 - i) for i in range(len(lines))], "line_id long, company long")
+    pairs = operator.gathered(local(spark, rows, schema), company).collect()
+    assert len(pairs) < 4 * len(lines)
+    root = union_find(range(1, len(lines)), [(r["a"], r["b"]) for r in pairs])
+    assert len({root[i] for i in range(1, len(lines))}) == 1
+    joined = [(*r[:5], 1, True) for r in rows]
+    assert operator.meetings(local(spark, joined, schema)).count() == 0
+
+
 def test_meetings_lose_no_similar_lines(spark):
     """Edited copies, some similar to each other but not to the pivot: all similar pairs that are not joined to it meet."""
     random.seed(5)
