@@ -41,16 +41,24 @@ class Store:
         self.root = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
         _WRITTEN.append((spark, self.root))
         self._tables = 0
+        self._named: dict[str, list[str]] = {}
 
     def path(self, name: str) -> str:
         self._tables += 1
-        return f"{self.root}/{self._tables}-{name}"
+        path = f"{self.root}/{self._tables}-{name}"
+        self._named.setdefault(name, []).append(path)
+        return path
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def discard(self, name: str) -> None:
+        """Delete the tables of that name, whose readers have all been written themselves."""
+        for path in self._named.pop(name, []):
+            delete_path(self.spark, path)
+
     def drop(self) -> None:
         delete_path(self.spark, self.root)
 

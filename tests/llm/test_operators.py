@@ -491,7 +491,8 @@ def test_lines_gathered_apart_from_a_pivot(spark):
     schema = "pivot long, line_id long, size long, common long, outside array<long>, root long, apart boolean"
     rows = [(0, r["b"], r["size_b"], r["common"], r["outside"], r["b"], True) for r in compared]
     company = local(spark, [(i, 100 - i) for i in range(len(lines))], "line_id long, company long")
-    pairs = operator.gathered(local(spark, rows, schema), company).collect()
+    unlike = local(spark, [(0, r["b"], r["outside"]) for r in compared], "a long, b long, outside array<long>")
+    pairs = operator.gathered(unlike, company).collect()
     assert len(pairs) < 4 * len(lines)
     root = union_find(range(1, len(lines)), [(r["a"], r["b"]) for r in pairs])
     assert len({root[i] for i in range(1, len(lines))}) == 1
