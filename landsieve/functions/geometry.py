@@ -9,15 +9,17 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .albers import SRIDS, reproject
+from .coordinates import Coordinates, Segments, wkb_of_text
 
 # WKB type codes and their text names.
 KINDS = {
@@ -163,62 +165,25 @@ def to_wkt(wkb: bytes) -> str:
 # --- exact tests ---------------------------------------------------------------------------------
 
 class Shape:
-    """A geometry as line segments; a point is a segment of no length.
+    """A single geometry for the pair tests."""
 
-    ``areal`` marks the segments that bound an area, ``anchors`` holds one vertex per part.
-    """
-
-    __slots__ = ("start", "end", "areal", "anchors")
+    __slots__ = ("wkb",)
 
     def __init__(self, wkb: bytes):
-        if len(wkb) == 21 and wkb[:5] == b"\x01\x01\x00\x00\x00":
-            self.start = self.end = self.anchors = np.frombuffer(wkb, "<f8", 2, 5).reshape(1, 2)
-            self.areal = np.zeros(1, bool)
-            return
-        starts, ends, area, anchors = [], [], [], []
-
-        def add(kind, part):
-            if kind == "Point":
-                part = part.reshape(1, 2)
-            if kind in ("Point", "LineString"):
-                anchors.append(part[:1])
-                starts.append(part[:-1] if len(part) > 1 else part)
-                ends.append(part[1:] if len(part) > 1 else part)
-                area.append(np.zeros(len(starts[-1]), bool))
-            elif kind == "Polygon":
-                for ring in part:
-                    anchors.append(ring[:1])
-                    starts.append(ring[:-1])
-                    ends.append(ring[1:])
-                    area.append(np.ones(len(ring) - 1, bool))
-            elif kind == "GeometryCollection":
-                for member in part:
-                    add(*member)
-            else:
-                for member in part:
-                    add(kind.removeprefix("Multi"), member)
-
-        add(*decode(wkb)[:2])
-        if len(starts) == 1:
-            self.start, self.end, self.areal, self.anchors = starts[0], ends[0], area[0], anchors[0]
-        else:
-            self.start, self.end, self.areal, self.anchors = map(np.concatenate, (starts, ends, area, anchors))
+        self.wkb = wkb
 
 
 # Element pairs handled at once; bounds the memory of a batch.
 CHUNK = 1_000_000
 
 
-def _ragged(left: list[np.ndarray], right: list[np.ndarray]):
-    """All combinations within each pair of arrays, flattened: row numbers per side and pair starts."""
-    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+def _ragged(n: np.ndarray, first_n: np.ndarray, m: np.ndarray, first_m: np.ndarray):
+    """All combinations within each pair of rows: places of both elements, and where each pair starts."""
     counts = n * m
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    starts = np.cumsum(counts) - counts
     local = np.arange(counts.sum()) - np.repeat(starts, counts)
     width = np.repeat(m, counts)
-    i = np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), counts) + local // width
-    j = np.repeat(np.concatenate([[0], np.cumsum(m)[:-1]]), counts) + local % width
-    return i, j, starts
+    return np.repeat(first_n, counts) + local // width, np.repeat(first_m, counts) + local % width, starts
 
 
 def _side(a, b, p):
@@ -229,10 +194,9 @@ def _within_box(a, b, p):
     return ((np.minimum(a, b) <= p) & (p <= np.maximum(a, b))).all(1)
 
 
-def _segments_meet(a: list[Shape], b: list[Shape]) -> np.ndarray:
-    i, j, starts = _ragged([x.start for x in a], [x.start for x in b])
-    p, q = np.concatenate([x.start for x in a])[i], np.concatenate([x.end for x in a])[i]
-    r, s = np.concatenate([x.start for x in b])[j], np.concatenate([x.end for x in b])[j]
+def _segments_meet(a: Segments, i: np.ndarray, b: Segments, j: np.ndarray) -> np.ndarray:
+    left, right, starts = _ragged(a.count[i], a.first[i], b.count[j], b.first[j])
+    p, q, r, s = a.start[left], a.end[left], b.start[right], b.end[right]
     d1, d2, d3, d4 = _side(p, q, r), _side(p, q, s), _side(r, s, p), _side(r, s, q)
     meet = (d1 * d2 < 0) & (d3 * d4 < 0)
     for zero, ends, point in ((d1, (p, q), r), (d2, (p, q), s), (d3, (r, s), p), (d4, (r, s), q)):
@@ -240,107 +204,138 @@ def _segments_meet(a: list[Shape], b: list[Shape]) -> np.ndarray:
     return np.logical_or.reduceat(meet, starts)
 
 
-def _covers_anchor(areas: list[Shape], others: list[Shape]) -> np.ndarray:
+def _covers_anchor(areas: Segments, i: np.ndarray, others: Segments, j: np.ndarray) -> np.ndarray:
     """Whether a part of ``others`` starts inside ``areas``, by the even-odd rule.
 
     Holes and several parts need no special case. All areas have to have bounding segments.
     """
-    owner = np.repeat(np.arange(len(others)), [len(o.anchors) for o in others])
-    points = np.concatenate([o.anchors for o in others])
-    begins, ends = [x.start[x.areal] for x in areas], [x.end[x.areal] for x in areas]
-    i, j, starts = _ragged([points[k : k + 1] for k in range(len(points))], [begins[k] for k in owner])
-    (px, py), (x1, y1) = points[i].T, np.concatenate([begins[k] for k in owner])[j].T
-    x2, y2 = np.concatenate([ends[k] for k in owner])[j].T
+    anchors, sides = others.anchor_count[j], areas.area_count[i]
+    point, side, _ = _ragged(anchors, others.anchor_first[j], sides, areas.area_first[i])
+    per_anchor = np.repeat(sides, anchors)
+    (px, py), (x1, y1), (x2, y2) = others.anchors[point].T, areas.area_start[side].T, areas.area_end[side].T
     spans = (y1 > py) != (y2 > py)
     height = np.where(spans, y2 - y1, 1.0)
     right_of = spans & (x1 + (py - y1) / height * (x2 - x1) > px)
-    inside = np.add.reduceat(right_of.astype(int), starts) % 2 == 1
-    return np.bincount(owner[inside], minlength=len(others)) > 0
+    inside = np.add.reduceat(right_of.astype(int), np.cumsum(per_anchor) - per_anchor) % 2 == 1
+    owner = np.repeat(np.arange(len(i)), anchors)
+    return np.bincount(owner[inside], minlength=len(i)) > 0
 
 
-def _chunks(a: list[Shape], b: list[Shape]):
+def _chunks(work: np.ndarray):
     """Consecutive pairs of limited total work."""
-    work = np.cumsum([len(x.start) * len(y.start) for x, y in zip(a, b)])
+    total = np.cumsum(work)
     first = 0
-    while first < len(a):
-        done = work[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(work, done + CHUNK, "right")))
+    while first < len(work):
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + CHUNK, "right")))
         yield first, last
         first = last
 
 
-def pairs_intersect(a: list[Shape], b: list[Shape]) -> np.ndarray:
-    """For each pair of shapes whether they share a point."""
-    result = np.zeros(len(a), bool)
-    for first, last in _chunks(a, b):
-        result[first:last] = _segments_meet(a[first:last], b[first:last])
-        for outer, inner in ((a, b), (b, a)):
-            open_ = [k for k in range(first, last) if not result[k] and outer[k].areal.any()]
-            if open_:
-                result[open_] = _covers_anchor([outer[k] for k in open_], [inner[k] for k in open_])
+def _intersect(a: Segments, i: np.ndarray, b: Segments, j: np.ndarray) -> np.ndarray:
+    """For each pair of rows of two batches whether they share a point; rows without coordinates share none."""
+    result = np.zeros(len(i), bool)
+    work = a.count[i] * b.count[j]
+    some = np.flatnonzero(work)
+    for first, last in _chunks(work[some]):
+        pairs = some[first:last]
+        result[pairs] = _segments_meet(a, i[pairs], b, j[pairs])
+        for outer, inner, x, y in ((a, b, i, j), (b, a, j, i)):
+            open_ = pairs[~result[pairs] & (outer.area_count[x[pairs]] > 0)]
+            if len(open_):
+                result[open_] = _covers_anchor(outer, x[open_], inner, y[open_])
     return result
 
 
-def _tip_gaps(a: list[Shape], b: list[Shape]) -> np.ndarray:
+def _tip_gaps(a: Segments, i: np.ndarray, b: Segments, j: np.ndarray) -> np.ndarray:
     """Per pair the shortest way from a segment end of ``a`` to a segment of ``b``."""
-    tips = [np.concatenate([x.start, x.end]) for x in a]
-    i, j, starts = _ragged(tips, [x.start for x in b])
-    point = np.concatenate(tips)[i]
-    begin, end = np.concatenate([x.start for x in b])[j], np.concatenate([x.end for x in b])[j]
-    along = end - begin
+    left, right, starts = _ragged(a.count[i], a.first[i], b.count[j], b.first[j])
+    begin, along = b.start[right], b.end[right] - b.start[right]
     length = (along**2).sum(1)
-    share = ((point - begin) * along).sum(1) / np.where(length == 0, 1.0, length)
-    nearest = begin + np.clip(share, 0.0, 1.0)[:, None] * along
-    return np.sqrt(np.minimum.reduceat(((point - nearest) ** 2).sum(1), starts))
-
-
-def pairs_distance(a: list[Shape], b: list[Shape]) -> np.ndarray:
-    """For each pair of shapes their distance, zero where they share a point."""
-    result = np.zeros(len(a))
-    apart = ~pairs_intersect(a, b)
-    for first, last in _chunks(a, b):
-        picked = np.flatnonzero(apart[first:last]) + first
-        if len(picked):
-            left, right = [a[k] for k in picked], [b[k] for k in picked]
-            result[picked] = np.minimum(_tip_gaps(left, right), _tip_gaps(right, left))
+    length[length == 0] = 1.0
+    gaps = []
+    for tips in (a.start, a.end):
+        point = tips[left]
+        share = ((point - begin) * along).sum(1) / length
+        nearest = begin + np.clip(share, 0.0, 1.0)[:, None] * along
+        gaps.append(np.minimum.reduceat(((point - nearest) ** 2).sum(1), starts))
+    return np.sqrt(np.minimum(*gaps))
+
+
+def _distance(a: Segments, i: np.ndarray, b: Segments, j: np.ndarray) -> np.ndarray:
+    """For each pair of rows their distance, zero where they share a point, NaN where one has no coordinates."""
+    work = a.count[i] * b.count[j]
+    result = np.where(work > 0, 0.0, np.nan)
+    apart = np.flatnonzero(~_intersect(a, i, b, j) & (work > 0))
+    for first, last in _chunks(work[apart]):
+        pairs = apart[first:last]
+        result[pairs] = np.minimum(_tip_gaps(a, i[pairs], b, j[pairs]), _tip_gaps(b, j[pairs], a, i[pairs]))
     return result
 
 
-@lru_cache(maxsize=4096)
-def _shape(wkb: bytes) -> Shape:
-    return Shape(wkb)
+def _of_shapes(test, a: list[Shape], b: list[Shape]) -> np.ndarray:
+    sides = [Segments(Coordinates(pa.array([bytes(x.wkb) for x in side], pa.binary()))) for side in (a, b)]
+    rows = np.arange(len(a))
+    return test(sides[0], rows, sides[1], rows)
 
 
-def _on_pairs(test, a: pd.Series, b: pd.Series, dtype: str) -> pd.Series:
-    known = np.flatnonzero(a.notna() & b.notna())
-    out = pd.Series([None] * len(a), dtype=dtype)
-    if len(known):
-        shapes = [[_shape(bytes(v)) for v in side.iloc[known]] for side in (a, b)]
-        out.iloc[known] = test(*shapes)
-    return out
+def pairs_intersect(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """For each pair of shapes whether they share a point."""
+    return _of_shapes(_intersect, a, b)
 
 
-@F.pandas_udf(T.BooleanType())
-def st_intersects(a: pd.Series, b: pd.Series) -> pd.Series:
+def pairs_distance(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """For each pair of shapes their distance, zero where they share a point."""
+    return _of_shapes(_distance, a, b)
+
+
+def _on_pairs(test, a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Result for each pair, and which pairs lack a side. Each distinct geometry of the batch is parsed once."""
+    known = pc.and_(pc.is_valid(a), pc.is_valid(b))
+    rows = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+    sides = []
+    for values in (a, b):
+        coded = values.filter(known).dictionary_encode()
+        sides += [Segments(Coordinates(coded.dictionary)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+    found = test(*sides)
+    out = np.zeros(len(a), found.dtype)
+    out[rows] = found
+    unknown = np.ones(len(a), bool)
+    unknown[rows] = False
+    return out, unknown
+
+
+@F.arrow_udf(T.BooleanType())
+def st_intersects(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two WKB geometries share a point; NULL when either is NULL."""
-    return _on_pairs(pairs_intersect, a, b, "boolean")
+    meet, unknown = _on_pairs(_intersect, a, b)
+    return pa.array(meet, mask=unknown)
 
 
-@F.pandas_udf(T.DoubleType())
-def st_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Planar distance between two WKB geometries; NULL when either is NULL."""
-    return _on_pairs(pairs_distance, a, b, "Float64")
+@F.arrow_udf(T.DoubleType())
+def st_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Planar distance between two WKB geometries; NULL when either is NULL or has no coordinates."""
+    gaps, unknown = _on_pairs(_distance, a, b)
+    return pa.array(gaps, mask=unknown | np.isnan(gaps))
 
 
 # --- column helpers ------------------------------------------------------------------------------
 
-def _per_row(fn, series: pd.Series) -> list:
-    return [None if v is None else fn(v) for v in series]
+def _replaced(values: pa.Array, rows: np.ndarray, others: list) -> pa.Array:
+    """``values`` with those of ``rows`` taken from ``others``."""
+    if not len(rows):
+        return values
+    mask = np.zeros(len(values), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(values, pa.array(mask), pa.array(others, values.type))
+
 
+@F.arrow_udf(PARSED)
+def parse_wkt(text: pa.Array) -> pa.Array:
+    """Well-known text to WKB and SRID; malformed text yields NULLs.
 
-@F.pandas_udf(PARSED)
-def parse_wkt(text: pd.Series) -> pd.DataFrame:
-    """Well-known text to WKB and SRID; malformed text yields NULLs."""
+    Points, lines, polygons and multipolygons are read a batch at once, other types text by text.
+    """
 
     def parse(value):
         try:
@@ -348,24 +343,30 @@ def parse_wkt(text: pd.Series) -> pd.DataFrame:
         except (ValueError, TypeError, IndexError):
             return None, None
 
-    rows = [(None, None) if v is None else parse(v) for v in text]
-    out = pd.DataFrame(rows, columns=["geom_wkb", "srid"])
-    return out.astype({"srid": "Int32"})
+    wkb, srid, rest = wkb_of_text(text)
+    parsed = [parse(v) for v in text.take(pa.array(rest)).to_pylist()]
+    wkb, srid = _replaced(wkb, rest, [w for w, _ in parsed]), _replaced(srid, rest, [s for _, s in parsed])
+    return pa.StructArray.from_arrays([wkb, srid], ["geom_wkb", "srid"])
+
+
+def _texts(wkb: pa.Array, json_text: bool, single) -> pa.Array:
+    texts, rest = Coordinates(wkb).texts(json_text)
+    return _replaced(texts, rest, [single(v) for v in wkb.take(pa.array(rest)).to_pylist()])
 
 
-@F.pandas_udf(T.StringType())
-def as_wkt(wkb: pd.Series) -> pd.Series:
-    return pd.Series(_per_row(lambda v: to_wkt(bytes(v)), wkb), dtype="object")
+@F.arrow_udf(T.StringType())
+def as_wkt(wkb: pa.Array) -> pa.Array:
+    return _texts(wkb, False, to_wkt)
 
 
-@F.pandas_udf(T.StringType())
-def as_geojson(wkb: pd.Series) -> pd.Series:
-    return pd.Series(_per_row(lambda v: json.dumps(to_geojson(bytes(v))), wkb), dtype="object")
+@F.arrow_udf(T.StringType())
+def as_geojson(wkb: pa.Array) -> pa.Array:
+    return _texts(wkb, True, lambda v: json.dumps(to_geojson(v)))
 
 
 @F.pandas_udf(T.BinaryType())
 def parse_geojson(text: pd.Series) -> pd.Series:
-    return pd.Series(_per_row(lambda v: from_geojson(json.loads(v)), text), dtype="object")
+    return pd.Series([None if v is None else from_geojson(json.loads(v)) for v in text], dtype="object")
 
 
 CHECKED = T.StructType([T.StructField("geom_wkb", T.BinaryType()), T.StructField("error", T.StringType())])
@@ -384,44 +385,29 @@ def checked_geojson(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(v) for v in text], columns=["geom_wkb", "error"], dtype="object")
 
 
-@F.pandas_udf(BOX)
-def envelope(wkb: pd.Series) -> pd.DataFrame:
-    """Bounding box, and whether the geometry is exactly that box."""
-
-    def box(value):
-        shape = Shape(value)
-        start = shape.start
-        low, high = start.min(0), start.max(0)
-        if not shape.areal.all():  # an open line also ends somewhere
-            low, high = np.minimum(low, shape.end.min(0)), np.maximum(high, shape.end.max(0))
-        rect = False
-        if len(start) == 4 and shape.areal.all() and (high > low).all():
-            corners = {(x, y) for x in (low[0], high[0]) for y in (low[1], high[1])}
-            one_axis = np.count_nonzero(start != shape.end, axis=1) == 1
-            rect = bool(one_axis.all()) and {tuple(p) for p in start} == corners
-        return (*low.tolist(), *high.tolist(), rect)
-
-    rows = [(None,) * 5 if v is None else box(v) for v in wkb]
-    out = pd.DataFrame(rows, columns=["minx", "miny", "maxx", "maxy", "is_rect"])
-    return out.astype({c: "float64" for c in ("minx", "miny", "maxx", "maxy")} | {"is_rect": "object"})
-
-
-@F.pandas_udf(T.BinaryType())
-def _transform(wkb: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
-    def moved(part, a, b):
-        if isinstance(part, np.ndarray):
-            return reproject(part.reshape(-1, 2), a, b).reshape(part.shape)
-        if isinstance(part, tuple):
-            return part[0], moved(part[1], a, b)
-        return [moved(p, a, b) for p in part]
-
-    def one(value, a, b):
-        if value is None or a == b:
-            return value
-        kind, coordinates, _ = decode(bytes(value))
-        return encode(kind, moved(coordinates, int(a), int(b)))
-
-    return pd.Series([one(*row) for row in zip(wkb, source, target)], dtype="object")
+@F.arrow_udf(BOX)
+def envelope(wkb: pa.Array) -> pa.Array:
+    """Bounding box, and whether the geometry is exactly that box; NULLs without coordinates."""
+    boxes = Coordinates(wkb).boxes()
+    return pa.StructArray.from_arrays(list(boxes.values()), list(boxes))
+
+
+@F.arrow_udf(T.BinaryType())
+def _transform(wkb: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
+    """Coordinates replaced in place; other binary forms are first brought to the plain one."""
+    a, b = (np.asarray(pc.fill_null(x, 0)).astype(int) for x in (source, target))
+    change = pc.is_valid(wkb).to_numpy(zero_copy_only=False) & (a != b)
+    wkb = wkb.cast(pa.binary())
+    moving = pc.if_else(pa.array(change), wkb, pa.scalar(None, pa.binary()))
+    shapes = Coordinates(moving)
+    odd = np.flatnonzero(change & ~shapes.plain)
+    if len(odd):
+        shapes = Coordinates(_replaced(moving, odd, [encode(*decode(v)[:2]) for v in moving.take(pa.array(odd)).to_pylist()]))
+    xy = shapes.xy.copy()
+    for pair in {(int(x), int(y)) for x, y in np.unique(np.stack([a[change], b[change]], 1), axis=0)}:
+        points = ((a == pair[0]) & (b == pair[1]))[shapes.point_row]
+        xy[points] = reproject(xy[points], *pair)
+    return pc.if_else(pa.array(change), shapes.with_xy(xy), wkb)
 
 
 def effective_srid(srid: str = "srid") -> Column:
