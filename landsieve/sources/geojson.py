@@ -143,17 +143,19 @@ def geojson_records(spark: SparkSession, paths: list[str], range_bytes: int = RA
     Records are the objects of the collection, or the file's objects if it has several, or the one object of a file of one range.
     In files whose braces do not add up, lines are records.
     """
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4)))
+    # By number: rows that name ranges are so small that adaptive execution would put them all into one task.
+    tasks = spark.sparkContext.defaultParallelism * 4
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), tasks)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, a, min(a + range_bytes, size), size) for p in batch["path"] for size in [vf.file_size(p)] for a in range(0, size, range_bytes)]
             yield pd.DataFrame(rows, columns=["path", "start", "stop", "size"])
 
-    ranges = files.mapInPandas(cut, "path string, start long, stop long, size long").repartition("path", "start")
+    ranges = files.mapInPandas(cut, "path string, start long, stop long, size long").repartition(tasks, "path", "start")
     # A file has one summary for each 32 MB, which are folded together.
     states = ranges.mapInPandas(_summaries, SUMMARY).groupBy("path").applyInPandas(folded, STATE)
-    sound = states.where("sound").repartition("path", "start").mapInPandas(_records, RECORDS)
+    sound = states.where("sound").repartition(tasks, "path", "start").mapInPandas(_records, RECORDS)
     unsound = states.where("NOT sound AND start = 0").select("path")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,7 @@
 
 Headers are read by a small Spark job. Shapefiles and GeoPackages are then cut into ranges of
 records and the ranges are spread over the cluster, so one large file is read by many tasks; so is
-GeoJSON, by byte ranges (``geojson``).
+GeoJSON and CSV, by byte ranges (``geojson``, ``csv_ranges``).
 
 Records that cannot be read fail the read, are left out, or are reported: ``on_error`` is "raise",
 "skip" or "report". With "report" there is a column ``read_error``, and a row with nothing but its file and the error for each such record.
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import DEFAULT_SRID, checked_geojson, parse_wkt, with_envelope
 from ..operators.standardize import quoted
 from . import vector_files as vf
+from .csv_ranges import csv_records
 from .geojson import geojson_records
 
 SLICE_RECORDS = 20_000
@@ -169,31 +170,28 @@ def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str
 
 def read_csv_layer(
     spark: SparkSession, paths: list[str], header: list[str], columns: list[str], require_geometry: bool = False,
-    multi_line: bool = True,
+    on_error: str = "raise",
 ) -> DataFrame:
     """CSV files sharing one header: ``source_file``, the named columns as text, ``geom_wkb``, ``srid``.
 
-    Quoted cells may hold line breaks, as legal descriptions do; a file is then read by one task.
-    Only files known to have none should be split with ``multi_line=False``.
+    Quoted cells may hold line breaks, as legal descriptions do; files are read in byte ranges all the same
+    (``csv_ranges``). Cells missing at the end of a record are NULL, surplus ones are dropped.
 
     A well-known text column becomes the geometry. Without one the geometry is NULL, or the files
     yield nothing when ``require_geometry`` is set.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = (
-        spark.read.schema(schema)
-        .options(header=True, enforceSchema=True, escape='"', multiLine=multi_line)
-        .csv(paths)
-        .select("*", F.col("_metadata.file_path").alias(SOURCE))
-    )
     wkt = next((c for c in WKT_COLUMNS if c in header), None)
+    places = [f"c{i}" for i in range(len(header))]
+    cells = ", ".join(f"{c} string" for c in places)
+    records = csv_records(spark, paths)
     if wkt is None and require_geometry:
-        rows = rows.limit(0)
-    shape = parse_wkt(quoted(wkt)) if wkt else F.lit(None).cast("struct<geom_wkb:binary,srid:int>")
-    present = [quoted(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns]
-    return rows.select(SOURCE, *present, shape.alias("_shape")).select(
-        SOURCE, *map(quoted, columns), "_shape.geom_wkb", "_shape.srid"
-    )
+        records = records.limit(0)
+    parsed = records.withColumn("cells", F.from_csv("text", cells, {"escape": '"', "maxCharsPerColumn": "-1"}))
+    cell = {name: F.col(f"cells.{place}") for name, place in zip(header, places)}
+    shape = parse_wkt(cell[wkt]) if wkt else F.lit(None).cast("struct<geom_wkb:binary,srid:int>")
+    named = [(cell[c] if c in cell else F.lit(None).cast("string")).alias(c) for c in columns]
+    rows = parsed.select(SOURCE, *named, shape.alias("_shape"), F.concat("error", F.lit(" at byte "), F.col("place").cast("string")).alias(PROBLEM))
+    return by_error(rows.select(SOURCE, *map(quoted, columns), "_shape.geom_wkb", "_shape.srid", PROBLEM), on_error)
 
 
 def union_rows(frames: list[DataFrame]) -> DataFrame:
@@ -217,8 +215,7 @@ def read_layers(
         if row["ext"] == "csv":
             by_header.setdefault(tuple(row["columns"]), []).append(row["path"])
     for header, paths in by_header.items():
-        rows = read_csv_layer(spark, paths, list(header), columns, require_geometry)
-        frames.append(rows.withColumn(PROBLEM, F.lit(None).cast("string")) if on_error == "report" else rows)
+        frames.append(read_csv_layer(spark, paths, list(header), columns, require_geometry, on_error))
     if shaped := [row["path"] for row in texts if row["ext"] == "geojson"]:
         frames.append(read_geojson(spark, shaped, columns, on_error))
     return union_rows(frames)
