@@ -14,6 +14,7 @@ from .plans.loading import load_all, schema_check
 from .plans.mapdata import map_data
 from .plans.site_selection import Settings, site_selection
 from .session import Scratch, build_session
+from .sources.manifest import CountyTable
 from .sources import readers, sheets, sinks
 from .sources.discover import path_exists
 
@@ -26,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--raw", required=True)
     load.add_argument("--tables", required=True)
     load.add_argument("--state")
+    load.add_argument("--changed-only", action="store_true", help="load only counties whose files or layers have changed since the last such load")
     load.add_argument("--scripts", help="folder of SQL scripts to run afterwards")
     load.add_argument("--lines", default=Enrichment.lines, help="layer of transmission lines, by file stem")
     load.add_argument("--roads", default=Enrichment.roads)
@@ -105,7 +107,9 @@ def select(spark: SparkSession, args: argparse.Namespace) -> str:
 def listed(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.what == "runs":
         return catalog.runs_info(catalog.run_folders(spark, f"{args.tables}/results"))
-    places = catalog.folders(spark, f"{args.tables}/parcels", ["state", "county"])
+    parcels = f"{args.tables}/parcels"
+    counted = CountyTable.exists(spark, parcels)
+    places = CountyTable(spark, parcels).entries().where("n > 0") if counted else catalog.folders(spark, parcels, ["state", "county"])
     if args.what == "states":
         return catalog.states(places)
     if args.state is None:
@@ -130,7 +134,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
     if args.command == "load":
         with Scratch(spark) as scratch:
             enrichment = Enrichment(args.lines, args.roads, args.substations, args.max_distance)
-            print_rows(load_all(spark, args.raw, args.tables, scratch, args.state, args.scripts, enrichment=enrichment))
+            print_rows(load_all(spark, args.raw, args.tables, scratch, args.state, args.scripts, enrichment=enrichment, changed_only=args.changed_only))
         return None
     if args.command == "schema":
         print_rows(schema_check(spark, args.raw, args.report)[1].drop("state_columns"))

@@ -15,7 +15,8 @@ from ..operators.standardize import apply_aliases, cast_parcels, normalize_geome
 from ..schema import COLUMN_ALIASES, PARCEL_COLUMNS
 from ..session import Scratch
 from ..sources.discover import discover_layers, discover_named_layers, list_files, path_exists
-from ..sources.readers import PROBLEM, SOURCE, WKT_COLUMNS, file_columns, file_headers, read_layer, read_layers
+from ..sources.readers import PROBLEM, SOURCE, WKT_COLUMNS, file_columns, file_headers, read_layer, read_layers, read_parcel_table
+from ..sources.manifest import CountyTable, folder_digests
 from ..sources.sinks import write_parcels, write_schema_report
 from .enrichment import Enrichment, enrich
 
@@ -28,15 +29,17 @@ MEASURES = ("et_distance", "hwy_distance")
 
 def load_parcels(
     spark: SparkSession, root: str, scratch: Scratch, state: str | None = None, require_geometry: bool = True,
-    keep: tuple[str, ...] = ENRICHMENT,
+    keep: tuple[str, ...] = ENRICHMENT, only: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Standardised, typed parcels of every file below ``root``, and the files and records left out with the reason.
 
     ``require_geometry`` leaves out CSV files without shapes and files whose shapes are all empty. ``keep``: columns outside the standard
     ones that are kept where files have them, such as those by which parcels are screened. Records are written down once,
-    so that the files are read once for both results.
+    so that the files are read once for both results. ``only``: (state, county) of the counties to load.
     """
-    files = scratch.materialize(discover_layers(spark, root, state), "files")
+    found = discover_layers(spark, root, state)
+    found = found if only is None else found.join(only, ["state", "county"], "left_semi")
+    files = scratch.materialize(found, "files")
     headers = scratch.materialize(file_headers(spark, files), "headers")
     wanted = [*PARCEL_COLUMNS, *[c for c in COLUMN_ALIASES if COLUMN_ALIASES[c] in PARCEL_COLUMNS], *[c for c in keep if c not in PARCEL_COLUMNS]]
     texts = F.arrays_overlap("columns", F.array(*map(F.lit, WKT_COLUMNS)))
@@ -68,13 +71,20 @@ def _plain(path: str):
 
 def load_all(
     spark: SparkSession, root: str, out: str, scratch: Scratch, state: str | None = None, scripts: str | None = None,
-    layer_folders: tuple[str, ...] = ("other_gis", "rextag"), enrichment: Enrichment | None = Enrichment(),
+    layer_folders: tuple[str, ...] = ("other_gis", "rextag"), enrichment: Enrichment | None = Enrichment(), changed_only: bool = False,
 ) -> DataFrame:
     """Load auxiliary layers and parcels below ``root`` into tables below ``out``; returns rows per county.
 
     Layers go to ``out/<folder>/<layer>``. Parcels are enriched by the layers that ``enrichment`` names and go to
     ``out/parcels``; what was left out goes to ``out/problems``. SQL scripts, if any, then run over views of the written tables.
+
+    ``changed_only`` makes ``out/parcels`` a ``CountyTable``: only counties whose files have changed, or all when a
+    layer that enriches them has, are read and written; counties without files leave the table. Either form of
+    table stays what it is; ``out/problems`` then tells of the counties that were read.
     """
+    target = f"{out.rstrip('/')}/parcels"
+    if path_exists(spark, target) and CountyTable.exists(spark, target) != changed_only:
+        raise ValueError(f"{target} was written {'without' if changed_only else 'with'} a manifest; load into another folder")
     layers: dict[str, DataFrame] = {}
     for folder in layer_folders:
         source = f"{root.rstrip('/')}/{folder}"
@@ -84,21 +94,49 @@ def load_all(
         for name in load_layers(spark, source, f"{out.rstrip('/')}/{folder}")[0]:
             layers[name] = spark.read.parquet(f"{out.rstrip('/')}/{folder}/{name}")
             layers[name].createOrReplaceTempView(name)
-    parcels, problems = load_parcels(spark, root, scratch, state)
+    changes = None
+    if changed_only:
+        sources = [f"{root.rstrip('/')}/{folder}" for folder in layer_folders]
+        digests = folder_digests(spark, root, state, _layers_stamp(spark, [s for s in sources if path_exists(spark, s)], enrichment))
+        changes = scratch.materialize(CountyTable(spark, target).changes(digests, state), "changes")
+        if changes.where("change != 'same'").isEmpty():
+            log.info("no county has changed")
+            CountyTable(spark, target).read().createOrReplaceTempView("parcels")
+            if scripts is not None:
+                run_sql_steps(spark, scripts)
+            return county_counts(CountyTable(spark, target).read())
+    only = None if changes is None else changes.where("change IN ('new', 'changed')").select("state", "county")
+    parcels, problems = load_parcels(spark, root, scratch, state, only=only)
     if enrichment is not None:
         shaped = {name: layer for name, layer in layers.items() if "geom_wkb" in layer.columns}
         parcels = enrich(parcels, shaped, enrichment, scratch)
-    target = f"{out.rstrip('/')}/parcels"
     # The county attribute stays available as ``county_name``; the folder is the partition.
     partition = {"county": "county_name", "_state": "state", "_folder": "county"}
     for old, new in partition.items():
         parcels = parcels.withColumnRenamed(old, new)
-    write_parcels(parcels, target)
+    if changes is None:
+        write_parcels(parcels, target)
+    else:
+        CountyTable(spark, target).commit(parcels, changes)
     problems.write.mode("overwrite").json(f"{out.rstrip('/')}/problems")
-    spark.read.parquet(target).createOrReplaceTempView("parcels")
+    written = read_parcel_table(spark, target)
+    written.createOrReplaceTempView("parcels")
     if scripts is not None:
         run_sql_steps(spark, scripts)
-    return county_counts(spark.read.parquet(target))
+    return county_counts(written)
+
+
+def _layers_stamp(spark: SparkSession, folders: list[str], enrichment: Enrichment | None) -> str:
+    """Names, sizes and times of the layer files that parcels are enriched by, and how."""
+    if enrichment is None:
+        return "none"
+    names = [enrichment.lines, enrichment.roads, enrichment.substations]
+    stamps = []
+    for folder in folders:
+        files = list_files(spark, folder, ["modificationTime", "length"])
+        used = files.where(F.substring_index("name", ".", 1).isin(names))  # a layer's files, up to six of them
+        stamps += [f"{r['below']} {r['length']} {r['at']}" for r in used.select("below", "length", F.unix_millis("modificationTime").alias("at")).collect()]
+    return "\n".join([repr(enrichment), *sorted(stamps)])
 
 
 def load_layers(spark: SparkSession, root: str, out: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:

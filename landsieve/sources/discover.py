@@ -21,8 +21,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root``: full path, path below root, name, type. Contents are not read."""
+def list_files(spark: SparkSession, root: str, more: list[str] | None = None) -> DataFrame:
+    """All files below ``root``: full path, path below root, name, type. Contents are not read.
+
+    ``more``: ``modificationTime`` or ``length`` as well.
+    """
     base = qualified(spark, root)
     below = F.expr(f"substring(path, {len(base) + 2})")
     name = F.element_at(F.split("below", "/"), -1)
@@ -30,7 +33,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path")
+        .select("path", *(more or []))
         .withColumn("below", below)
         .withColumn("name", name)
         .withColumn("ext", F.regexp_extract("name", r"\.([^.]+)$", 1))

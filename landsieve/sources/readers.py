@@ -23,6 +23,7 @@ from ..operators.standardize import quoted
 from . import vector_files as vf
 from .csv_ranges import csv_records
 from .geojson import geojson_records
+from .manifest import CountyTable
 
 SLICE_RECORDS = 20_000
 MAX_SLICES = 10_000
@@ -251,8 +252,15 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
 
 # --- tables --------------------------------------------------------------------------------------
 
+def read_parcel_table(spark: SparkSession, path: str) -> DataFrame:
+    """All parcels of a table, with a manifest or without."""
+    return CountyTable(spark, path).read() if CountyTable.exists(spark, path) else spark.read.parquet(path)
+
+
 def read_parcels(spark: SparkSession, path: str, state: str, county: str | None = None) -> DataFrame:
     """Parcels of a county, or of all counties of a state; only those partitions are read."""
+    if CountyTable.exists(spark, path):
+        return CountyTable(spark, path).read(state, county)
     parcels = spark.read.parquet(path).where(F.col("state") == state)
     return parcels if county is None else parcels.where(F.col("county") == county)
 
