@@ -16,6 +16,9 @@ from .plans.enrichment import Enrichment, enrich
 from .plans.loading import load_parcels
 from .plans.site_selection import Settings, rank, screening_funnel, site_selection, with_drive_times
 from .session import Scratch, lasting_scratch, ship_package
+from .sources import readers
+from .sources.discover import list_files
+from .sources.manifest import CountyTable
 from .sources.sinks import export_columns, report_row, write_parcels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -924,3 +927,74 @@ def q_report(spark, sf):
         F.round("statistics.std_dev", 6).alias("std_dev"), F.col("top_parcels")[0]["parcelnumb"].alias("best"),
         F.col("summary")["transmission_distance"].alias("transmission_distance"), F.col("summary")["ranking_method"].alias("method"),
     )
+
+
+# --- whole results of readers, tables and reports -------------------------------------------------
+
+EXACT = """, d AS (SELECT ogc_fid, p.x0 AS px, p.y0 AS py, l.x0 AS ax, l.y0 AS ay, l.x1 - l.x0 AS dx, l.y1 - l.y0 AS dy FROM parcels p JOIN lines l
+      ON p.x0 >= l.x0 - 100 AND p.x0 <= l.x1 + 100 AND p.y0 >= l.y0 - 100 AND p.y0 <= l.y1 + 100),
+    t AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0.0e0 ELSE least(1.0e0, greatest(0.0e0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS share FROM d),
+    g AS (SELECT ogc_fid, sqrt(power(px - ax - share * dx, 2) + power(py - ay - share * dy, 2)) AS gap FROM t)
+    SELECT ogc_fid, round(min(gap), 4) AS distance FROM g WHERE gap <= 100 GROUP BY ogc_fid"""
+
+
+@query(EXACT, "parcels", "lines")
+def q_nearest_exact(spark, sf):
+    """Distance from a corner of each parcel to the nearest slanting line, by shapes rather than boxes."""
+    spot = F.concat(F.lit("POINT("), F.col("minx").cast("string"), F.lit(" "), F.col("miny").cast("string"), F.lit(")"))
+    spots = with_envelope(fx.parcels(spark, sf).select("ogc_fid", parse_wkt(spot)["geom_wkb"].alias("geom_wkb")))
+    found = spatial.nearest(spots, with_box_shapes(fx.lines(spark, sf)), 100.0, cell=fx.CELL)
+    return found.select("ogc_fid", F.round("distance", 4).alias("distance"))
+
+
+@query(
+    """SELECT CAST(ogc_fid AS VARCHAR) AS ogc_fid, 'lot "' || ogc_fid || '"' || chr(10) || 'of, ' || parcelnumb AS legaldesc, zoning_type,
+      'POINT(' || CAST(x0 AS BIGINT) || ' ' || CAST(y0 AS BIGINT) || ')' AS wkt FROM parcels""",
+    "parcels",
+)
+def q_csv_layer(spark, sf):
+    """CSV files whose cells hold quotes, separators and line breaks, read in ranges far smaller than the files."""
+    scratch = lasting_scratch(spark)
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    legal = F.concat(F.lit('lot "'), whole("ogc_fid"), F.lit('"\nof, '), F.col("parcelnumb"))
+    spot = F.concat(F.lit("POINT("), whole("minx"), F.lit(" "), whole("miny"), F.lit(")"))
+    rows = fx.parcels(spark, sf).select(whole("ogc_fid").alias("ogc_fid"), legal.alias("legaldesc"), "zoning_type", spot.alias("wkt"))
+    path = scratch.new_path("csv")
+    rows.write.options(header=True, escape='"').csv(path)
+    files = [r["path"] for r in list_files(spark, path).where("ext = 'csv'").select("path").collect()]  # a row for each file
+    read = readers.read_csv_layer(spark, files, rows.columns, ["ogc_fid", "legaldesc", "zoning_type"], range_bytes=65536)
+    return read.select("ogc_fid", "legaldesc", "zoning_type", as_wkt("geom_wkb").alias("wkt"))
+
+
+@query(
+    SOURCES_SQL + ", one AS (" + " UNION ALL ".join(
+        f"SELECT state, '{c}' AS name FROM src GROUP BY state HAVING max(n_{c}) > 0" for c in [*SCHEMA_STANDARD, *SCHEMA_EXTRA] if c not in ("county", "legaldesc"))
+    + ") SELECT state, string_agg(name, ',' ORDER BY name) AS state_columns FROM one GROUP BY state",
+    "parcels",
+)
+def q_schema_state_columns(spark, sf):
+    _, per_state, _ = std.schema_report(source_columns(spark, sf), SCHEMA_STANDARD)
+    return per_state.select("state", F.array_join("state_columns", ",").alias("state_columns"))
+
+
+@query(
+    """SELECT ogc_fid, 'size' AS criterion, gisacre AS raw FROM r UNION ALL SELECT ogc_fid, 'drive', drive_time FROM r
+    UNION ALL SELECT ogc_fid, 'transmission', et_distance FROM r""",
+    "r",
+)
+def q_explain_measures(spark, sf):
+    """The measured raw values of every score breakdown, as numbers."""
+    parts = scoring.explain_scores(ranked(spark, sf), fx.WEIGHTS)
+    return parts.where(F.col("criterion").isin("size", "drive", "transmission")).select("ogc_fid", "criterion", F.col("raw").cast("double").alias("raw"))
+
+
+@query("""SELECT ogc_fid, state2 AS state, county, CASE WHEN state2 = 'asia' THEN gisacre * 2 ELSE gisacre END AS gisacre FROM parcels""", "parcels")
+def q_changed_counties(spark, sf):
+    """A table of all counties after those of one state have been loaded again."""
+    table = CountyTable(spark, lasting_scratch(spark).new_path("counties"))
+    parcels = fx.parcels(spark, sf).select("ogc_fid", F.col("state2").alias("state"), "county", "gisacre")
+    again = parcels.where("state = 'asia'").withColumn("gisacre", F.col("gisacre") * 2)
+    for rows, digest, change in ((parcels, "1", "new"), (again, "2", "changed")):
+        counties = rows.select("state", "county").distinct()
+        table.commit(rows, counties.withColumns({"digest": F.lit(digest), "change": F.lit(change)}))
+    return table.read()

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import DEFAULT_SRID, checked_geojson, parse_wkt, with_envelope
 from ..operators.standardize import quoted
 from . import vector_files as vf
-from .csv_ranges import csv_records
+from .csv_ranges import RANGE_BYTES, csv_records
 from .geojson import geojson_records
 from .manifest import CountyTable
 
@@ -171,7 +171,7 @@ def read_binary_layer(spark: SparkSession, headers: DataFrame, columns: list[str
 
 def read_csv_layer(
     spark: SparkSession, paths: list[str], header: list[str], columns: list[str], require_geometry: bool = False,
-    on_error: str = "raise",
+    on_error: str = "raise", range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """CSV files sharing one header: ``source_file``, the named columns as text, ``geom_wkb``, ``srid``.
 
@@ -184,7 +184,7 @@ def read_csv_layer(
     wkt = next((c for c in WKT_COLUMNS if c in header), None)
     places = [f"c{i}" for i in range(len(header))]
     cells = ", ".join(f"{c} string" for c in places)
-    records = csv_records(spark, paths)
+    records = csv_records(spark, paths, range_bytes)
     if wkt is None and require_geometry:
         records = records.limit(0)
     parsed = records.withColumn("cells", F.from_csv("text", cells, {"escape": '"', "maxCharsPerColumn": "-1"}))

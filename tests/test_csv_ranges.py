@@ -104,14 +104,13 @@ def test_long_records_are_reported_and_the_rest_is_read(tmp_path, monkeypatch):
     assert [(place, text, error is not None) for _, place, text, error in rows] == [(3, "1", False), (5, "2", False), (7, None, True)]
 
 
-def test_ranges_equal_the_whole_file_reader(spark, tmp_path, monkeypatch):
+def test_ranges_equal_the_whole_file_reader(spark, tmp_path):
     rng = random.Random(3)
     for n in range(3):
         (tmp_path / f"{n}.csv").write_bytes(written(rng, 30, "\n").replace("\r", "").encode())
     paths = [str(tmp_path / f"{n}.csv") for n in range(3)]
     whole = spark.read.schema("id string, note string, wkt string").options(header=True, escape='"', multiLine=True).csv(paths)
-    monkeypatch.setattr(readers, "csv_records", lambda s, p: cr.csv_records(s, p, 64))
-    got = readers.read_csv_layer(spark, paths, HEADER, ["note", "id", "other"])
+    got = readers.read_csv_layer(spark, paths, HEADER, ["note", "id", "other"], range_bytes=64)
     assert got.columns == ["source_file", "note", "id", "other", "geom_wkb", "srid"]
     key = lambda r: tuple(x or "" for x in r)
     assert sorted(((r["id"], r["note"]) for r in got.collect()), key=key) == sorted(((r["id"], r["note"]) for r in whole.collect()), key=key)
