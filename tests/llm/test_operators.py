@@ -500,6 +500,33 @@ def test_lines_gathered_apart_from_a_pivot(spark):
     assert operator.meetings(local(spark, joined, schema)).count() == 0
 
 
+def test_lines_of_an_edited_pivot_meet_by_rare_shingles(spark):
+    """The pivot has an edit of its own, so all lines have the same shingles outside it; lines of another component meet none of them by these."""
+    random.seed(6)
+    letters = "abcdefghijklmnop "
+    base = "".join(random.choice(letters) for _ in range(400))
+    pivot = base[:200] + "ZZZZ" + base[204:]
+    near = [base, *[base[:k] + "YY" + base[k + 2 :] for k in range(10, 190, 6)]]
+    far = ["".join("X" if i % 37 == k else c for i, c in enumerate(base)) for k in range(12)]
+    operator = LineDedup()
+    texts = local(spark, list(enumerate([pivot, *near, *far])), "line_id long, line string")
+    rows = operator.compared(local(spark, [(0, i) for i in range(1, len(near) + len(far) + 1)], "a long, b long"), texts).collect()
+    assert all((r["similarity"] >= 0.8) == (r["b"] <= len(near)) for r in rows)
+    assert all(len(set(r["outside"])) == len(r["outside"]) for r in rows)
+    rooted = [(0, r["b"], r["size_b"], r["common"], r["size_a"] - r["common"], r["outside"], 0 if r["b"] <= len(near) else r["b"], r["b"] > len(near)) for r in rows]
+    rooted = local(spark, rooted, "pivot long, line_id long, size long, common long, missing long, outside array<long>, root long, apart boolean")
+    assert [tuple(r) for r in operator.centres(rooted).collect()] == [(0, 1)]
+    assert operator.meetings(rooted).count() < len(near)
+
+
+def test_lines_run_no_python(spark):
+    texts = local(spark, [(0, "a line"), (1, "another line")], "line_id long, line string")
+    operator = LineDedup()
+    for df in (operator.banded(operator.signatures(texts)), operator.compared(local(spark, [(0, 1)], "a long, b long"), texts)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas")), plan
+
+
 def test_meetings_lose_no_similar_lines(spark):
     """Edited copies, some similar to each other but not to the pivot: all similar pairs that are not joined to it meet."""
     random.seed(5)
