@@ -27,7 +27,8 @@ from ..functions.geometry import st_distance, st_intersects
 from ..schema import BOX_COLUMNS
 from ..session import Scratch, lasting_scratch
 from .alignment import align
-from .best_first import search
+from .best_first import least_of_equals, search
+from .places import at_place, place_columns, places_of, written
 from .quadtree import cell_of
 from .skew import BROADCAST_BYTES, lookup_join, salted_join
 
@@ -291,10 +292,26 @@ def spatial_anti(
 
     With ``scratch`` the ids found by exact tests are written down first; as long as they are few
     they are then broadcast and no left row has to move. Kept rows come back in the reference system
-    that both sides were brought into.
+    that both sides were brought into. Of equal shapes of the layer one is tested, and where left rows share
+    their places, each place is tested once (``places``); these tables go to ``scratch``, or are dropped when the application ends.
     """
     exact = _check_shapes(left, right)
     left, right = align(left, right)
+    if exact:
+        scratch = scratch or lasting_scratch(left.sparkSession)
+        right = scratch.materialize(least_of_equals(right, right_id, []), "layer")
+        place = place_columns(left)
+        places = places_of(written(left.where(has_box()).select(left_id, *place), scratch, "rows"), place, scratch)
+        if places is not None:
+            clear = _anti(places, right, "_place", right_id, cell, max_bytes, scratch, exact)
+            hit = scratch.materialize(places.join(clear.select("_place"), "_place", "left_anti").drop("_place"), "hits")
+            return at_place(left, hit, place, "left_anti", [left_id], max_bytes)
+    return _anti(left, right, left_id, right_id, cell, max_bytes, scratch, exact)
+
+
+def _anti(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float | None, max_bytes: int, scratch: Scratch | None, exact: bool
+) -> DataFrame:
     cell = cell or cell_of(right)
     size, asked = fit_levels(left, right, cell)
     if not size.levels:
