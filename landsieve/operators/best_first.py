@@ -81,13 +81,11 @@ def search(
 ) -> DataFrame:
     """id, box, _bound, _seen, _found for each row with entries in reach: all entries that may be its nearest, and how many were looked at.
 
-    ``rows`` have boxes and unique ids. An entry is a struct of ``id``, its box, ``payload`` and, if there, ``is_rect``.
+    ``rows`` have boxes and unique ids, ``layer`` has no geometry twice (``least_of_equals``); both are read several times. An entry is a struct of ``id``, its box, ``payload`` and, if there, ``is_rect``.
     """
     flags = [c for c in ("is_rect",) if c in layer.columns]
     payload = [c for c in dict.fromkeys(payload) if c != layer_id]
-    layer = least_of_equals(layer, layer_id, [*payload, *flags]).withColumnRenamed(layer_id, "_layer_id")
-    layer = layer.drop("geom_wkb")
-    layer = scratch.materialize(layer, "entries")
+    layer = layer.where(HAS_BOX).drop("geom_wkb").withColumnRenamed(layer_id, "_layer_id")
     side = layer.agg(F.max(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
     largest = levels_for(cell, side or 0.0)
     # A level above both the reach and the largest entry: a row then begins with few cells, whatever its place.

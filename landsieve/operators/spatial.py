@@ -464,25 +464,47 @@ def nearest(
 
     ``payload`` maps layer columns to output names. Only parcels with a match are returned. A layer of up to ``max_bytes`` is
     broadcast; a larger one is searched from coarse cells to fine ones by shuffled joins (``best_first``), whose rounds are
-    written to ``scratch``, or to tables that are dropped when the application ends.
+    written to ``scratch``, or to tables that are dropped when the application ends. Of layer rows with one geometry the one with
+    the least id takes part, and where parcels share their places, each place is searched once (``places``).
     """
     payload = payload or {}
     exact = _check_shapes(parcels, layer)
     parcels, layer = align(parcels, layer)
-    cell = cell or cell_of(layer)
-    shape = [c for c in ("is_rect", "geom_wkb") if c in parcels.columns]
-    narrow = parcels.where(has_box()).select(id_col, *BOX_COLUMNS, *shape)
+    scratch = scratch or lasting_scratch(parcels.sparkSession)
+    layer = scratch.materialize(least_of_equals(layer, layer_id, list(payload)), "layer")
+    place = place_columns(parcels)
+    narrow = written(parcels.where(has_box()).select(id_col, *place), scratch, "rows")
+    options = (layer, max_dist, payload, distance, layer_id, cell or cell_of(layer), max_bytes, scratch, exact)
+    places = places_of(narrow, place, scratch)
+    if places is None:
+        return _nearest(narrow, id_col, *options)[0]
+    found, once = _nearest(places, "_place", *options)
+    names = [layer_id, distance, *payload.values()]
+    near = found.select("_place", F.struct(distance, *[c for c in names if c != distance]).alias("_near"))
+    near = scratch.materialize(places.join(near, "_place").drop("_place"), "near")
+    rows = at_place(narrow, near, place, "inner", [id_col]).select(id_col, "_near")
+    if once and not narrow.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = rows.groupBy(id_col).agg(F.min("_near").alias("_near"))
+    return rows.select(id_col, *[F.col("_near")[c].alias(c) for c in names])
+
+
+def _nearest(
+    narrow: DataFrame, id_col: str, layer: DataFrame, max_dist: float, payload: dict[str, str], distance: str, layer_id: str, cell: float,
+    max_bytes: int, scratch: Scratch, exact: bool,
+) -> tuple[DataFrame, bool]:
+    """``nearest`` for the rows of a written table with boxes, and whether rows that share an id were made one."""
     limit = F.lit(float(max_dist))
     searched = _search_in_place(narrow, layer, _rings(max_dist), layer_id, list(payload), exact, cell, max_bytes)
     if searched is not None and not exact:
         hit = F.col("_found")[0]["entry"]
         chosen = [hit["id"].alias(layer_id), F.col("_found")[0]["gap"].alias(distance), *[hit[c].alias(o) for c, o in payload.items()]]
-        return searched.where(F.size("_found") > 0).select(id_col, *chosen)
+        return searched.where(F.size("_found") > 0).select(id_col, *chosen), False
 
+    shape = [c for c in ("is_rect", "geom_wkb") if c in narrow.columns]
     if searched is not None:
         entries = searched.withColumn("_e", F.explode("_found")).select(*narrow.columns, F.col("_e.entry").alias("_e"))
     else:
-        found = search(narrow, layer, max_dist, id_col, layer_id, list(payload), cell, scratch or lasting_scratch(parcels.sparkSession))
+        found = search(narrow, layer, max_dist, id_col, layer_id, list(payload), cell, scratch)
         entries = found.select(id_col, *BOX_COLUMNS, F.explode("_found").alias("_e"))
         if shape:
             entries = entries.join(narrow.select(id_col, *shape), id_col)
@@ -491,7 +513,7 @@ def nearest(
     gap = box_gap()
     if exact:
         pairs = with_shapes(pairs, layer, id_col, layer_id, measure_layer(layer, cell), max_bytes)
-        settled = _both_rect(parcels, layer)
+        settled = _both_rect(narrow, layer)
         measured = st_distance(F.when(~settled, F.col("geom_wkb")), F.when(~settled, F.col("_r_geom_wkb")))
         pairs = pairs.withColumn("_exact", measured)
         gap = F.when(settled, gap).otherwise(F.col("_exact"))
@@ -504,7 +526,7 @@ def nearest(
         .groupBy(id_col)
         .agg(F.min("_near").alias("_near"))
     )
-    return best.select(id_col, *[F.col("_near")[c].alias(c) for c in (layer_id, distance, *payload.values())])
+    return best.select(id_col, *[F.col("_near")[c].alias(c) for c in (layer_id, distance, *payload.values())]), True
 
 
 def nearest_in_rings(

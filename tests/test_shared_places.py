@@ -75,3 +75,14 @@ def test_anti_join_tests_each_pair_of_places_once(spark, scratch, searched):
     hit = {i for i, (d, _) in brute(rows, lines, 0.0).items()}
     assert sorted(r["id"] for r in kept.collect()) == sorted({i for i, *_ in rows} - hit | {9000}) and len(hit) >= 3 * COPIES
     assert max(searched) <= PLACES * (PLACES + 3)  # thirty times thirty times as many before
+
+
+def test_nearest_box_and_rows_that_share_an_id(spark, scratch, searched):
+    at, lines = spots(7, 30), stacked(spots(8, 30), 1000)
+    box = lambda rows, key: local(spark, [(i, x, y, x + 1.0, y + 1.0) for i, x, y in rows], f"{key} long, minx double, miny double, maxx double, maxy double")
+    rows = stacked(at) + stacked(at)
+    found = sp.nearest(box(rows, "id"), box(lines, "lid"), 100.0, {}, "d", "id", "lid", scratch=scratch)
+    gap = lambda a, b: math.hypot(max(0.0, abs(a[0] - b[0]) - 1), max(0.0, abs(a[1] - b[1]) - 1))
+    want = sorted((i, *min((gap((x, y), b), k) for k, *b in lines)) for i, x, y in rows)
+    assert sorted((r["id"], r["d"], r["lid"]) for r in found.collect()) == want
+    assert searched == [(PLACES, PLACES)]
