@@ -77,6 +77,16 @@ def test_anti_join_tests_each_pair_of_places_once(spark, scratch, searched):
     assert max(searched) <= PLACES * (PLACES + 3)  # thirty times thirty times as many before
 
 
+@pytest.mark.parametrize("max_bytes", [sp.LIST_BYTES, 0])
+def test_nearest_shape_is_searched_once_a_place(spark, scratch, searched, max_bytes):
+    rows, lines = stacked(spots(3, 30)), stacked(spots(4, 30), 1000)
+    found = sp.nearest(points(spark, [*rows, (9000, None, None)], "id"), slants(spark, lines), 6.0, {"kv": "kv"}, "d", "id", "lid", max_bytes=max_bytes, scratch=scratch)
+    got = {r["id"]: (round(r["d"], 9), r["lid"], r["kv"]) for r in found.collect()}
+    assert got == {i: (d, k, f"k{k}") for i, (d, k) in brute(rows, lines, 6.0).items()} and found.count() == len(got) > 0
+    assert found.columns == ["id", "lid", "d", "kv"]
+    assert searched[0] == (PLACES, PLACES)
+
+
 def test_nearest_box_and_rows_that_share_an_id(spark, scratch, searched):
     at, lines = spots(7, 30), stacked(spots(8, 30), 1000)
     box = lambda rows, key: local(spark, [(i, x, y, x + 1.0, y + 1.0) for i, x, y in rows], f"{key} long, minx double, miny double, maxx double, maxy double")
