@@ -87,6 +87,15 @@ def test_nearest_shape_is_searched_once_a_place(spark, scratch, searched, max_by
     assert searched[0] == (PLACES, PLACES)
 
 
+def test_ids_that_repeat_at_other_places_keep_their_nearest(spark, scratch):
+    rows, lines = [(i // 2, x, y) for i, x, y in stacked(spots(5, 30))], stacked(spots(6, 30), 1000)
+    found = sp.nearest(points(spark, rows, "id"), slants(spark, lines), 50.0, {}, "d", "id", "lid", scratch=scratch)
+    want = {}
+    for i, x, y in rows:
+        want[i] = min(want.get(i, (math.inf, 0)), min((round(distance(x, y, a, b), 9), k) for k, a, b in lines))
+    assert {r["id"]: (round(r["d"], 9), r["lid"]) for r in found.collect()} == want and found.count() == len(want)
+
+
 def test_nearest_box_and_rows_that_share_an_id(spark, scratch, searched):
     at, lines = spots(7, 30), stacked(spots(8, 30), 1000)
     box = lambda rows, key: local(spark, [(i, x, y, x + 1.0, y + 1.0) for i, x, y in rows], f"{key} long, minx double, miny double, maxx double, maxy double")
