@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BOX_COLUMNS
-from ..session import Scratch
+from ..session import Scratch, spread_small
 from .skew import BROADCAST_BYTES, is_small, salted_join
 
 #: Rows that must share a place, on average, before it is worth joining them back.
@@ -37,12 +37,12 @@ def written(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def places_of(rows: DataFrame, place: list[str], scratch: Scratch, number: str = "_place") -> DataFrame | None:
     """The different places of ``rows`` with a number each, as a written table; None where they are not much fewer than the rows.
 
-    That is told by an estimate of their number, which decides about the work alone.
+    That is told by an estimate of their number, which decides about the work alone. Few places are spread over all cores when they are read.
     """
     seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*place)).alias("places")).first()
     if seen["rows"] < STACKED * seen["places"] or not seen["rows"]:
         return None
-    return scratch.materialize(rows.select(*place).distinct().withColumn(number, F.monotonically_increasing_id()), "places")
+    return spread_small(scratch.materialize(rows.select(*place).distinct().withColumn(number, F.monotonically_increasing_id()), "places"))
 
 
 def at_place(df: DataFrame, found: DataFrame, place: list[str], how: str, salt_by: list[str], max_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import transform_srid
+from ..operators.places import at_place, places_of
 from ..operators.spatial import HAS_BOX, nearest
 from ..schema import BOX_COLUMNS
 from ..session import Scratch
+from ..sources.sinks import without_nulls
 
 ROW = "_row"
 
@@ -51,7 +53,8 @@ def enrich(parcels: DataFrame, layers: dict[str, DataFrame], enrichment: Enrichm
     if not present:
         return parcels
     columns = list(parcels.columns)
-    numbered = scratch.materialize(parcels.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    filled, whole = without_nulls(parcels)
+    numbered = whole(scratch.materialize(filled.withColumn(ROW, F.monotonically_increasing_id()), "numbered"))
     shape = [c for c in ("is_rect", "geom_wkb", "srid") if c in columns]
 
     def measured(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,19 +63,28 @@ def enrich(parcels: DataFrame, layers: dict[str, DataFrame], enrichment: Enrichm
             return kept.drop("srid")
         return transform_srid(kept, enrichment.srid) if "geom_wkb" in kept.columns else kept
 
-    places = measured(numbered.where(HAS_BOX), [ROW])
-    places = scratch.materialize(places, "places")
+    # Parcels that share their places are searched for once by place.
+    stands = [*BOX_COLUMNS, *shape]
+    shared = places_of(numbered.where(HAS_BOX), stands, scratch, ROW)
+    places = scratch.materialize(measured(numbered.where(HAS_BOX) if shared is None else shared, [ROW]), "places")
+    values = []
     for layer, payload, distance in present:
         handed = {c: to for c, to in payload.items() if c in layer.columns}
         entries = layer.withColumn("_id", F.monotonically_increasing_id()) if "id" not in layer.columns else layer.withColumn("_id", F.col("id"))
         entries = scratch.materialize(measured(entries.where(HAS_BOX), ["_id", *handed]), "layer")
         found = nearest(places, entries, enrichment.max_dist, {c: f"_n_{to}" for c, to in handed.items()}, f"_n_{distance}", ROW, "_id", scratch=scratch)
         found = scratch.materialize(found.drop("_id"), "nearest")
-        numbered = numbered.join(found, ROW, "left")
-        for to in (*handed.values(), distance):
-            value = F.col(f"_n_{to}")
-            if to in columns:
-                value = F.coalesce(F.col(to), value.cast(parcels.schema[to].dataType))
-            numbered = numbered.withColumn(to, value).drop(f"_n_{to}")
+        if shared is None:
+            numbered = numbered.join(found, ROW, "left")
+        else:
+            shared = shared.join(found, ROW, "left")
+        values += [*handed.values(), distance]
+    if shared is not None:
+        numbered = at_place(numbered, scratch.materialize(shared.drop(ROW), "shared"), stands, "left", [ROW])
+    for to in values:
+        value = F.col(f"_n_{to}")
+        if to in columns:
+            value = F.coalesce(F.col(to), value.cast(parcels.schema[to].dataType))
+        numbered = numbered.withColumn(to, value).drop(f"_n_{to}")
     return numbered.drop(ROW, "_station_distance")
 

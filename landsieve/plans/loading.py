@@ -44,13 +44,16 @@ def load_parcels(
     wanted = [*PARCEL_COLUMNS, *[c for c in COLUMN_ALIASES if COLUMN_ALIASES[c] in PARCEL_COLUMNS], *[c for c in keep if c not in PARCEL_COLUMNS]]
     texts = F.arrays_overlap("columns", F.array(*map(F.lit, WKT_COLUMNS)))
     bare = (F.col("ext") == "csv") & ~F.coalesce(texts, F.lit(False)) if require_geometry else F.lit(False)
-    records = scratch.materialize(read_layers(spark, headers.where(~bare), wanted, require_geometry, "report"), "records")
+    present = _present(headers.where(~bare), wanted)
+    records = scratch.materialize(read_layers(spark, headers.where(~bare), present, require_geometry, "report"), "records")
     rows = records.where(F.col(PROBLEM).isNull()).drop(PROBLEM)
-    if require_geometry:  # files without a single shape are left out
-        rows = normalize_geometry(rows, SOURCE)
-    # One row per file; its folder names are the partition, next to the county attribute.
+    rows = rows.select(SOURCE, *[F.col(c) if c in present else F.lit(None).cast("string").alias(c) for c in wanted], "geom_wkb", "srid")
+    # One row per file; its folder names are the partition, next to the county attribute. Files without a single shape are left out.
     places = files.select(_plain("path").alias("_file"), F.col("state").alias("_state"), F.col("county").alias("_folder"))
-    placed = lookup_join(rows.withColumn("_file", _plain(SOURCE)), places, ["_file"], "inner", wanted[:4])
+    counted = normalize_geometry(rows) if require_geometry else rows
+    sources = counted.select(SOURCE).distinct().withColumn("_file", _plain(SOURCE))
+    sources = scratch.materialize(sources.join(places, "_file").select(SOURCE, "_state", "_folder"), "sources")
+    placed = lookup_join(rows, sources, [SOURCE], "inner", present[:4])
     kept = [c for c in keep if c not in PARCEL_COLUMNS]
     typed = cast_parcels(standardize(apply_aliases(placed), keep=["_state", "_folder", *kept]))
     typed = typed.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in kept if c in MEASURES})
@@ -58,12 +61,22 @@ def load_parcels(
     problems = headers.where(F.col("error").isNotNull()).select("path", "error")
     problems = problems.unionByName(records.where(F.col(PROBLEM).isNotNull()).select(F.col(SOURCE).alias("path"), F.col(PROBLEM).alias("error")))
     if require_geometry:
-        shaped = records.where(F.col("geom_wkb").isNotNull()).select(_plain(SOURCE).alias("_file")).distinct()  # a row for each file at most
+        shaped = records.where(F.col("geom_wkb").isNotNull()).select(SOURCE).distinct().select(_plain(SOURCE).alias("_file"))  # a row for each file at most
         readable = headers.where(F.col("error").isNull()).select("path", _plain("path").alias("_file"))
         problems = problems.unionByName(readable.join(shaped, "_file", "left_anti").select("path", F.lit("no geometry").alias("error")))
     return parcels, problems
 
 
+def _present(headers: DataFrame, wanted: list[str]) -> list[str]:
+    """The wanted columns that some file has; all of them where files other than CSV are among these, whose headers need not name every column."""
+    readable = headers.where(F.col("error").isNull())
+    if not readable.where("ext <> 'csv'").isEmpty():
+        return wanted
+    names = readable.select(F.explode("columns").alias("name")).where(F.col("name").isin(wanted)).distinct()
+    found = {r["name"] for r in names.collect()}  # as many as are wanted, at most
+    return [c for c in wanted if c in found] or wanted
+
+
 def _plain(path: str):
     """Paths come as ``file:/x`` and ``file:///x``, encoded or not; compare them in one form."""
     return F.url_decode(F.regexp_replace(F.regexp_replace(F.col(path), r"\+", "%2B"), r"^file:/+", "file:/"))

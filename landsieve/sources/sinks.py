@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import TYPE_CHECKING
@@ -56,14 +57,41 @@ def run_stamp(moment: datetime | None = None) -> str:
     return (moment or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
 
 
+def without_nulls(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` without the columns, but for those ``needed``, that its plan knows to be NULL in every row, and what puts them back in place.
+
+    Of some 160 standard columns files often have a few; the others cost as much at each step as those that are filled.
+    """
+    plan, nulls = df._jdf.queryExecution().optimizedPlan(), set()
+    if plan.nodeName() == "Project":
+        listed = plan.projectList()
+        for i in range(listed.size()):
+            child = listed.apply(i).children().headOption() if listed.apply(i).nodeName() == "Alias" else None
+            if child is not None and child.get().nodeName() == "Literal" and child.get().value() is None:
+                nulls.add(listed.apply(i).name())
+    nulls -= set(needed)
+    if not nulls or len(set(df.columns)) < len(df.columns):
+        return df, lambda other: other
+    names, kinds = df.columns, {f.name: f.dataType for f in df.schema.fields}
+
+    def whole(other: DataFrame) -> DataFrame:
+        put = [F.lit(None).cast(kinds[c]).alias(c) if c in nulls else F.col(f"`{c}`") for c in names]
+        return other.select(*put, *[F.col(f"`{c}`") for c in other.columns if c not in kinds])
+
+    return df.drop(*nulls), whole
+
+
 def write_parcels(df: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Write parcels partitioned by state and county, replacing just the counties in ``df``.
 
     Rows are rebalanced on the partition columns, so small counties make few files and a county
-    holding a large share of all rows is still written by many tasks.
+    holding a large share of all rows is still written by many tasks. Columns that are known to be NULL
+    are put in behind that, so they are not shuffled.
     """
+    filled, whole = without_nulls(df, "state", "county")
+    dealt = filled.hint("rebalance", F.col("state"), F.col("county"))
     (
-        df.hint("rebalance", F.col("state"), F.col("county"))
+        whole(dealt)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)

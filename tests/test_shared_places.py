@@ -12,6 +12,9 @@ from landsieve.functions.geometry import parse_wkt, with_envelope
 from landsieve.operators import spatial as sp
 from landsieve.plans import enrichment
 from landsieve.plans.enrichment import Enrichment, enrich
+from landsieve.plans.loading import load_parcels
+from landsieve.schema import PARCEL_COLUMNS
+from landsieve.sources.sinks import write_parcels
 
 PLACES, COPIES = 12, 30
 
@@ -105,3 +108,42 @@ def test_nearest_box_and_rows_that_share_an_id(spark, scratch, searched):
     want = sorted((i, *min((gap((x, y), b), k) for k, *b in lines)) for i, x, y in rows)
     assert sorted((r["id"], r["d"], r["lid"]) for r in found.collect()) == want
     assert searched == [(PLACES, PLACES)]
+
+
+def test_parcels_are_enriched_once_a_place(spark, scratch, monkeypatch):
+    rows, lines = stacked(spots(9, 30)), stacked(spots(10, 30), 1000)
+    given, old = [], enrichment.nearest
+    monkeypatch.setattr(enrichment, "nearest", lambda places, *rest, **more: (given.append(places.count()), old(places, *rest, **more))[1])
+    parcels = points(spark, [*rows, (9000, None, None), (9000, *rows[0][1:])], "ogc_fid").withColumn("srid", F.lit(4326)).withColumn("et_kv", F.when(F.col("ogc_fid") == 1, "own"))
+    layer = slants(spark, lines, "id").withColumn("operator", F.lit("o")).withColumn("srid", F.lit(4326))
+    got = enrich(parcels, {"lines": layer, "roads": layer.drop("kv", "operator")}, Enrichment("lines", max_dist=6.0, srid=None), scratch)
+    near = brute(rows, lines, 6.0)
+    want = [(i, None, None, None) if i not in near else (i, near[i][0], "own" if i == 1 else f"k{near[i][1]}", near[i][0]) for i, *_ in rows]
+    want += [(9000, None, None, None), (9000, *(want[0][1], want[0][2], want[0][3]))]
+    key = lambda r: (r[0], r[1] is not None)
+    rounded = lambda d: None if d is None else round(d, 9)
+    assert sorted(((r["ogc_fid"], rounded(r["et_distance"]), r["et_kv"], rounded(r["hwy_distance"])) for r in got.collect()), key=key) == sorted(((i, d, "own" if i == 1 else k, h) for i, d, k, h in want), key=key)
+    assert given == [PLACES, PLACES] and "est_operator" not in got.columns
+
+
+def test_columns_of_no_file_are_not_carried_through_the_load(spark, scratch, tmp_path, monkeypatch):
+    """Of the standard columns those that no file has are NULL in the result, and in no table on the way."""
+    folder = tmp_path / "parcels" / "az" / "pima"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text('ogc_fid,parcelid,acres,wkt\n1,p1,2.5,"POINT(1 2)"\n2,p2,x,"POINT(1 2)"\n3,p3,,\n')
+    (folder / "b.csv").write_text("ogc_fid,usedesc,wkt\n4,,\n")  # without a shape
+    written, old = {}, Scratch.materialize
+    monkeypatch.setattr(Scratch, "materialize", lambda self, df, name="step": (written.setdefault(name, df.columns), old(self, df, name))[1])
+    parcels, problems = load_parcels(spark, str(tmp_path), scratch)
+    assert parcels.columns[: len(PARCEL_COLUMNS)] == PARCEL_COLUMNS and "et_kv" in parcels.columns
+    got = sorted(tuple(r) for r in parcels.select("ogc_fid", "parcelnumb", "gisacre", "usedesc", "minx", "_state", "_folder", "et_distance").collect())
+    assert got == [("1", "p1", 2.5, None, 1.0, "az", "pima", None), ("2", "p2", None, None, 1.0, "az", "pima", None), ("3", "p3", None, None, None, "az", "pima", None)]
+    assert [r["error"] for r in problems.collect()] == ["no geometry"]
+    assert "geoid" not in written["records"]
+    layer = slants(spark, [(1, 0.0, 0.0)], "id").withColumn("operator", F.lit("o"))
+    enriched = enrich(parcels, {"lines": layer}, Enrichment("lines", max_dist=6.0, srid=None), scratch)
+    assert enriched.columns == parcels.columns and "geoid" not in written["numbered"]
+    write_parcels(enriched.drop("county", "state").withColumnsRenamed({"_state": "state", "_folder": "county"}), str(tmp_path / "out"))
+    back = {r["ogc_fid"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {i: (r["et_kv"], r["geoid"], r["state"], r["county"]) for i, r in back.items()} == {"1": ("k1", None, "az", "pima"), "2": ("k1", None, "az", "pima"), "3": (None, None, "az", "pima")}
+    assert set(PARCEL_COLUMNS) <= set(back["1"].asDict())
